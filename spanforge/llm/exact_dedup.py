@@ -20,7 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import bounded_side, cut_to, drop_tables, located, shared_path, without_rows
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk: no preallocated files (megabytes for each partition of small state), native memory with a bound for all
+#: partitions of an executor, and none of it held once a batch is committed.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def sha256_digest(text: Column) -> Column:
@@ -29,14 +37,14 @@ def sha256_digest(text: Column) -> Column:
 
 def _stream_state(spark: SparkSession, staged_path: str, staged: DataFrame) -> DataFrame:
     """Run the digests through the keyed state; the last state of each digest."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
     out = shared_path(spark, "dedup-state")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    spark.conf.set(key, ROCKSDB)
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
     try:
         stream = spark.readStream.schema(staged.schema).parquet(staged_path)
         state = stream.groupBy("digest").agg(F.max("at").alias("keeper"), F.count(F.lit(1)).alias("group_size"))
@@ -49,10 +57,11 @@ def _stream_state(spark: SparkSession, staged_path: str, staged: DataFrame) -> D
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     try:
         states = spark.read.schema(state.schema).parquet(out)
     except AnalysisException:  # no rows, no batch
