@@ -55,10 +55,10 @@ def _(spark, sf_dir):
     return z.select(F.col("thread").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("thread"), "name", "start", "end", "depth")
 
 
-@query("q06_chrome_counters", "SELECT 'signup-mem_bytes' AS plot, 'Memory' AS format, count(*) AS points, round(sum(k), 3) AS total FROM ev WHERE event_type = 'signup'", "ev")
+@query("q06_chrome_counters", "SELECT 'signup-mem_bytes' AS plot, 'Memory' AS format, count(*) AS points, CAST(sum(k) AS DOUBLE) AS total FROM ev WHERE event_type = 'signup'", "ev")
 def _(spark, sf_dir):
     t = chrome_events(spark, sf_dir)
-    return t["plot_points"].join(t["plots"], ["capture_id", "plot"]).groupBy("plot", "format").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("val"), 3).alias("total"))
+    return t["plot_points"].join(t["plots"], ["capture_id", "plot"]).groupBy("plot", "format").agg(F.count(F.lit(1)).alias("points"), F.sum("val").alias("total"))
 
 
 @query("q07_rebased_messages", "SELECT event_id AS seq, t - (SELECT min(t) FROM ev) AS time FROM ev WHERE event_type = 'signup'", "ev")
