@@ -82,6 +82,14 @@ def bounded_side(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def short_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts go to Python in batches of this many rows at most: the usual 10,000 whole texts, held by the JVM and by the
+    worker, would take hundreds of megabytes. The session keeps a smaller setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def word_count(text: Column) -> Column:
     """Number of `[^\\x20\\x09-\\x0D]+` in a text; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_side, cut, cut_to, drop_tables, located, without_rows
+from .common import bounded_side, cut, cut_to, drop_tables, located, short_batches, without_rows
 from .components import components
 
 WORDS = 5
@@ -51,7 +51,7 @@ _SHIFT = np.uint64(31)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -85,34 +85,36 @@ def prefix_length(n: int) -> int:
     return n - -(-4 * n // 5) + 1
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the shingles in each of about two bits per shingle; the length is a power of two."""
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the shingles in each of about two bits per shingle, as 64-bit words; their number is a power of two."""
     bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
     counts = np.bincount(tokens & (bits - 1), minlength=bits)
-    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the number of shingles that only one of two sets has."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the number of shingles that only one of two sets has, from their bitmaps."""
     if len(x) < len(y):
         x, y = y, x
     if len(x) > len(y):  # the parity of a residue is that of all residues that fold onto it
         x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+
+def _among(tokens: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``tokens`` are in the sorted array ``some``."""
+    if not len(some):
+        return np.zeros(len(tokens), bool)
+    at = np.searchsorted(some, tokens)
+    at[at == len(some)] = 0
+    return some[at] == tokens
 
 
 def ordered_prefix(tokens: np.ndarray, moved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The prefix of a set where ``moved`` shingles come last, and which of it are moved ones."""
-    if len(moved):
-        at = np.searchsorted(moved, tokens)
-        at[at == len(moved)] = 0
-        late = moved[at] == tokens
-        tokens, late = np.concatenate([tokens[~late], tokens[late]]), np.sort(late)
-    else:
-        late = np.zeros(len(tokens), bool)
+    late = _among(tokens, moved)
     p = prefix_length(len(tokens))
-    return tokens[:p], late[:p]
+    return np.concatenate([tokens[~late], tokens[late]])[:p], np.sort(late)[:p]
 
 
 def subset_rows(n: int) -> int:
@@ -153,7 +155,7 @@ def _digest_sets(batches):
                 bits.append(bitmap(s) if new else None)
                 small.append(s if new and len(s) <= MOST_SMALL else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), part.column(2), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefix, _LISTS), pa.array(bits, pa.binary()), pa.array(small, _LISTS)],
+                [part.column(0), part.column(1), part.column(2), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefix, _LISTS), pa.array(bits, _LISTS), pa.array(small, _LISTS)],
                 ["doc_id", "file", "row", "n", "sid", "more", "prefix", "bits", "small"],
             )
 
@@ -168,11 +170,10 @@ def _full_sets(batches):
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, tokens of the sets in ``wanted`` (sid, doc_id), from the texts."""
-    ids = bounded_side(wanted.select(F.col("doc_id").alias("_sf_id")).distinct())
-    rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_sf_id")), "left_semi").select("doc_id", "text")
-    sets = rows.mapInArrow(_full_sets, "sid long, tokens array<long>")
-    return sets.join(bounded_side(wanted.select("sid").distinct()), "sid", "left_semi").dropDuplicates(["sid"])
+    """sid, tokens of the sets whose rows ``wanted`` (a written table) has as file and row, from the texts."""
+    rows = bounded_side(wanted.select(F.xxhash64("file").alias("_sf_file"), F.col("row").alias("_sf_row")))
+    at = docs.select(F.xxhash64("_metadata.file_path").alias("_sf_file"), F.col("_metadata.row_index").alias("_sf_row"), F.col("text").cast("string").alias("text"))
+    return at.join(rows, ["_sf_file", "_sf_row"], "left_semi").select("_sf_row", "text").mapInArrow(_full_sets, "sid long, tokens array<long>")
 
 
 def _scan_lists(batches):
@@ -209,11 +210,17 @@ def _scan_lists(batches):
         yield packed()
 
 
+def _rows_of(lists: pa.ListArray) -> list[np.ndarray]:
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(lists.flatten().to_numpy(), ends[:-1]) if len(ends) else []
+
+
 def _passing(batches):
     """Pairs whose bitmaps differ in no more bits than their shingles may."""
     for batch in batches:
-        a, b, n, m, x, y = (batch.column(i).to_pylist() for i in range(6))
-        keep = [least_difference(p, q) <= i + j - 2 * overlap(i, j) for i, j, p, q in zip(n, m, x, y, strict=True)]
+        n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+        most = n + m - 2 * overlap(n, m)
+        keep = [least_difference(x, y) <= k for x, y, k in zip(_rows_of(batch.column(4)), _rows_of(batch.column(5)), most, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(2)], ["a", "b"])
 
 
@@ -223,7 +230,8 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.distinct().join(side["a"], "a").join(side["b"], "b").where("4 * greatest(na, nb) <= 5 * least(na, nb)")
     left = cut(both.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_passing, "a long, b long"), "join-passing")
     ends = left.select(F.col("a").alias("sid")).union(left.select("b")).distinct()
-    full, full_path = cut_to(_sets_of(docs, sets.join(ends, "sid", "left_semi").select("sid", "doc_id")), "join-full")
+    wanted = cut(sets.select("sid", "file", "row").join(ends, "sid", "left_semi"), "join-wanted")
+    full, full_path = cut_to(_sets_of(docs, wanted), "join-full")
     first, second = (full.select(F.col("sid").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
     shared = F.size(F.array_intersect("ta", "tb")).cast("long")
     met = left.join(first, "a").join(second, "b").select("a", "b", shared.alias("both"), (F.size("ta") + F.size("tb")).cast("long").alias("all"))
@@ -261,72 +269,80 @@ def _small_links(sets: DataFrame, most: int) -> DataFrame:
     return out
 
 
-def _moved_shingles(spark: SparkSession, sets: DataFrame, docs: DataFrame, long: int) -> tuple[np.ndarray, DataFrame | None, float]:
-    """Shingles that go to the end of the order; the full sets that have one in their prefix; mean entries scanned a row."""
+def _frequent(tokens: DataFrame, long: int) -> tuple[np.ndarray, float]:
+    """The tokens that occur more than ``long`` times, sorted, and the mean of entries scanned a row."""
+    counts, path = cut_to(tokens.groupBy("token").count().where("count > 1"), "join-counts")
+    top = counts.where(F.col("count") > long).orderBy(F.desc("count"), "token").limit(MOVED).select("token").toPandas()["token"].to_numpy(np.int64)
+    total = counts.agg(F.sum(F.least(F.col("count"), F.lit(long)) * F.col("count")), F.sum("count")).first()
+    drop_tables(tokens.sparkSession, path)
+    return np.sort(top), float(total[0] or 0) / float(total[1] or 1)
 
-    def frequent(tokens: DataFrame) -> tuple[np.ndarray, float]:
-        counts, path = cut_to(tokens.groupBy("token").count().where("count > 1"), "join-counts")
-        top = counts.where(F.col("count") > long).orderBy(F.desc("count"), "token").limit(MOVED).select("token").toPandas()["token"].to_numpy(np.int64)
-        total = counts.agg(F.sum(F.least(F.col("count"), F.lit(long)) * F.col("count")), F.sum("count")).first()
-        drop_tables(spark, path)
-        return np.sort(top), float(total[0] or 0) / float(total[1] or 1)
 
-    moved, scanned = frequent(sets.select(F.explode("prefix").alias("token")))
+def _moved_shingles(sets: DataFrame, docs: DataFrame, long: int) -> tuple[np.ndarray, np.ndarray, DataFrame | None, float]:
+    """Shingles that go to the end of the order; those whose lists stay long all the same; the full sets that have one of
+    either in their prefix; mean entries scanned a row."""
+    spark, empty = docs.sparkSession, np.zeros(0, np.int64)
+    moved, scanned = _frequent(sets.select(F.explode("prefix").alias("token")), long)
     if not len(moved):
-        return moved, None, scanned
+        return moved, empty, None, scanned
     full = cut(_sets_of(docs, cut(_touched(spark, sets, moved), "join-touched")), "join-moved")
-    for _ in range(ROUNDS - 1):
-        if len(moved) >= MOVED:
+    for k in range(ROUNDS):
+        # only shingles that moving others has brought into a prefix can have made a list longer
+        still, _ = _frequent(_moved_prefixes(spark, full, moved, empty, "fresh").select("token"), long)
+        if not len(still) or k == ROUNDS - 1 or len(moved) >= MOVED:
             break
-        new, _ = frequent(_moved_prefixes(spark, full, moved).where("not late").select("token"))
-        if not len(new):
-            break
-        moved = np.union1d(moved, new)
-    # one order for all: sets in whose prefix only a later round's shingle lies are ordered anew, too
-    late = cut(_touched(spark, sets, moved).join(bounded_side(full.select("sid")), "sid", "left_anti"), "join-touched")
-    return moved, full.unionByName(cut(_sets_of(docs, late), "join-moved")), scanned
+        moved = np.union1d(moved, still)
+    # one order for all: every set that has one of these shingles in its prefix is ordered anew
+    late = cut(_touched(spark, sets, np.union1d(moved, still)).join(bounded_side(full.select("sid")), "sid", "left_anti"), "join-touched")
+    return moved, still, full.unionByName(cut(_sets_of(docs, late), "join-moved")), scanned
 
 
 def _touched(spark: SparkSession, sets: DataFrame, moved: np.ndarray) -> DataFrame:
-    """sid, doc_id of the sets that have one of ``moved`` in their prefix."""
+    """sid, file, row of the sets that have one of ``moved`` in their prefix."""
     shared = spark.sparkContext.broadcast(moved)
 
     def run(batches):
         for batch in batches:
-            lists, m = batch.column(2), shared.value
+            lists, m = batch.column(3), shared.value
             flat, ends = lists.flatten().to_numpy(), np.asarray(lists.value_lengths().to_numpy(), np.int64)
-            at = np.searchsorted(m, flat)
-            at[at == len(m)] = 0
-            hits = np.bincount(np.repeat(np.arange(len(ends)), ends)[m[at] == flat], minlength=len(ends)) > 0
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(hits)) for i in range(2)], ["sid", "doc_id"])
+            hits = np.bincount(np.repeat(np.arange(len(ends)), ends)[_among(flat, m)], minlength=len(ends)) > 0
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(hits)) for i in range(3)], ["sid", "file", "row"])
 
-    return sets.select("sid", "doc_id", "prefix").mapInArrow(run, "sid long, doc_id long")
+    return sets.select("sid", "file", "row", "prefix").mapInArrow(run, "sid long, file string, row long")
 
 
-def _moved_prefixes(spark: SparkSession, full: DataFrame, moved: np.ndarray) -> DataFrame:
-    """token, sid, n, pos, late: the prefixes of ``full`` sets in the order with ``moved`` shingles last."""
-    shared = spark.sparkContext.broadcast(moved)
+def _moved_prefixes(spark: SparkSession, full: DataFrame, moved: np.ndarray, still: np.ndarray, which: str) -> DataFrame:
+    """token, sid, n, pos: the prefixes of ``full`` sets in the order with ``moved`` shingles last. Of these the entries of
+    ``long`` lists (of ``moved`` and ``still`` shingles), of ``plain`` ones, or those that are ``fresh`` in the prefix."""
+    shared = spark.sparkContext.broadcast((moved, still))
+
+    def entries(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        prefix, late = ordered_prefix(tokens, shared.value[0])
+        if which == "fresh":
+            wanted = ~late & (prefix > tokens[len(prefix) - 1])
+        else:
+            wanted = (late | _among(prefix, shared.value[1])) == (which == "long")
+        at = np.flatnonzero(wanted)
+        return prefix[at], at
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
-            flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-            parts = [ordered_prefix(flat[a:b], shared.value) for a, b in zip(ends, ends[1:], strict=False)]
-            if not parts:
+            sets = _rows_of(batch.column(1))
+            found = [entries(x) for x in sets]
+            if not found:
                 continue
-            lengths = [len(p) for p, _ in parts]
+            counts = [len(x) for x, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([p for p, _ in parts])),
-                    pa.array(np.repeat(batch.column(0).to_numpy(), lengths)),
-                    pa.array(np.repeat(np.diff(ends), lengths).astype(np.int32)),
-                    pa.array(np.concatenate([np.arange(k) for k in lengths]).astype(np.int32)),
-                    pa.array(np.concatenate([x for _, x in parts])),
+                    pa.array(np.concatenate([x for x, _ in found])),
+                    pa.array(np.repeat(batch.column(0).to_numpy(), counts)),
+                    pa.array(np.repeat([len(x) for x in sets], counts).astype(np.int32)),
+                    pa.array(np.concatenate([at for _, at in found]).astype(np.int32)),
                 ],
-                ["token", "sid", "n", "pos", "late"],
+                ["token", "sid", "n", "pos"],
             )
 
-    return full.select("sid", "tokens").mapInArrow(run, "token long, sid long, n int, pos int, late boolean")
+    return full.select("sid", "tokens").mapInArrow(run, "token long, sid long, n int, pos int")
 
 
 def _fits(a: str, b: str) -> str:
@@ -343,28 +359,34 @@ def _pivot_pairs(entries: DataFrame) -> DataFrame:
     return pairs.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
 
 
-def _open_pairs(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs in long lists that are not yet connected: members outside the list's largest component against the others."""
-    rooted = cut(entries.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("root")), "join-rooted")
+def _open_pairs(entries: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs in long lists that are not yet connected: members outside the list's largest component against the others,
+    as far as their bitmaps let them be links."""
+    members = entries.select("sid").distinct()
+    bits = cut(sets.select("sid", "bits").join(members, "sid", "left_semi"), "join-bits")
+    rooted = cut(entries.join(bits, "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "pos", "bits", F.coalesce("root", "sid").alias("root")), "join-rooted")
     sizes = rooted.groupBy("token", "root").count()
     largest = sizes.groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("largest"))
     marked = rooted.join(largest, "token")
     alone = marked.where("root <> largest").alias("x")
-    pairs = alone.join(rooted.alias("y"), F.expr(f"x.token = y.token and x.root <> y.root and {_fits('x', 'y')}"))
+    differ = "aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (s, k) -> s + k)"
+    bound = f"(size(x.bits) <> size(y.bits) or {differ} <= x.n + y.n - 2 * ceil(4 * (x.n + y.n) / 9))"
+    pairs = alone.join(rooted.alias("y"), F.expr(f"x.token = y.token and x.root <> y.root and {_fits('x', 'y')} and {bound}"))
     return pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
 
 
 def join_classes(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, file, row, n, sid, more) and the roots (node, root) of the sets that have links."""
     spark = docs.sparkSession
+    short_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col("text").cast("string"))
-    base = cut(rows.mapInArrow(_digest_sets, "doc_id long, file string, row long, n int, sid long, more long, prefix array<long>, bits binary, small array<long>"), "join-base")
+    base = cut(rows.mapInArrow(_digest_sets, "doc_id long, file string, row long, n int, sid long, more long, prefix array<long>, bits array<long>, small array<long>"), "join-base")
     new = base.where("prefix is not null")
     first = new.groupBy("sid", "more").agg(F.min(F.struct("file", "row")).alias("keep"), F.count(F.lit(1)).alias("k")).where("k > 1")
     extra = new.select("sid", "more", "file", "row").join(first, ["sid", "more"]).where("struct(file, row) <> keep").select("file", "row")
     sets = new.join(bounded_side(cut(extra, "join-extra")), ["file", "row"], "left_anti")
 
-    moved, full, scanned = _moved_shingles(spark, sets, docs, long)
+    moved, still, full, scanned = _moved_shingles(sets, docs, long)
     few = {r["n"]: r["count"] for r in sets.where(F.col("n") <= 5 * MOST_SMALL // 4).groupBy("n").count().collect()}
     small = boundary(few, scanned)
     links = _small_links(sets, small)
@@ -372,20 +394,18 @@ def join_classes(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFram
     listed = F.col("n") * 5 >= 4 * (small + 1)
     plain = sets.where(listed).select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
     entries = None
-    if full is None:
-        lists = plain.select("token", "sid", "n", "pos")
-    else:
-        table = cut(_moved_prefixes(spark, full, moved).where(listed), "join-entries")
-        entries = table.where("late").select("token", "sid", "n", "pos")
+    lists = plain.select("token", "sid", "n", "pos")
+    if full is not None:
         others = sets.where(listed).join(bounded_side(full.select("sid")), "sid", "left_anti").select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
-        lists = others.select("token", "sid", "n", "pos").unionByName(table.where("not late").select("token", "sid", "n", "pos"))
+        lists = others.select("token", "sid", "n", "pos").unionByName(_moved_prefixes(spark, full, moved, still, "plain").where(listed))
+        entries = cut(_moved_prefixes(spark, full, moved, still, "long").where(listed), "join-long")
     pairs = lists.repartition("token").mapInArrow(_scan_lists, "a long, b long")
     if entries is None:
         links = links.unionByName(_verified(docs, sets, pairs))
         return base, components(links)
     links = links.unionByName(_verified(docs, sets, pairs.unionByName(_pivot_pairs(entries))))
     roots = components(links)
-    more = _verified(docs, sets, _open_pairs(entries, roots))
+    more = _verified(docs, sets, _open_pairs(entries, roots, sets))
     if more.limit(1).count():
         roots = components(links.unionByName(more))
     return base, roots

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 #: The model is fitted on at most so many labelled documents.
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
@@ -172,6 +174,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
     """Fit on at most ``sample_rows`` labelled rows of ``docs`` that are not held out."""
+    short_batches(docs.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("_sf_quality"))
     drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # bounds the broadcast and what the driver gets
@@ -191,6 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def scored(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``."""
+    short_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts):

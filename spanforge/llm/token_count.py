@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 LIMIT = 4096
 #: Entries of the dictionary in one Python worker; a pre-token that was put out is counted again.
 DICTIONARY = 400_000
@@ -70,6 +72,7 @@ _counters: dict[str, PieceCounter] = {}
 
 def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; ``model`` is the path of a model file on every machine."""
+    short_batches(docs.sparkSession)
 
     def run(batches):
         counter = _counters.get(model) or _counters.setdefault(model, PieceCounter(model))
