@@ -20,8 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 #: Pre-tokens remembered in one Python worker, in each of two generations.
-DICTIONARY = 100_000
+DICTIONARY = 150_000
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -42,69 +44,80 @@ class BytePairCoder:
         letters = byte_letters()
         value = {c: b for b, c in enumerate(letters)}
         self.of_byte = [vocab[c] for c in letters]
-        #: (left id, right id) -> rank << 32 | merged id
-        self.merges: dict[tuple[int, int], int] = {}
+        #: left id << 20 | right id -> rank << 20 | merged id; numbers make quicker keys than pairs
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[left], vocab[right]] = rank << 32 | vocab[left + right]
+            self.merges[vocab[left] << 20 | vocab[right]] = rank << 20 | vocab[left + right]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for piece, i in vocab.items():
             self.strings[i] = bytes(value[c] for c in piece) if all(c in value for c in piece) else piece.encode()
         for content, i in self.special.items():
             self.strings[i] = content.encode()
+        self.named = {str(i): x for i, x in enumerate(self.strings)}
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
         self.size, self.young, self.old = size, {}, {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token. Queue entries are rank << 32 | position."""
         ids = [self.of_byte[b] for b in piece]
-        n, merges = len(ids), self.merges
-        if n < 2:
+        n, rule = len(ids), self.merges.get
+        queue = [r >> 20 << 32 | i for i in range(n - 1) if (r := rule(ids[i] << 20 | ids[i + 1])) is not None]
+        if not queue:
             return ids
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(r >> 32, i, ids[i], ids[i + 1], r & 0xFFFFFFFF) for i in range(n - 1) if (r := merges.get((ids[i], ids[i + 1]))) is not None]
         heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            _, i, left, right, merged = heappop(queue)
-            j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+            entry = heappop(queue)
+            i = entry & 0xFFFFFFFF
+            j, left = after[i], ids[i]
+            if left < 0 or j >= n:
+                continue
+            r = rule(left << 20 | ids[j])
+            if r is None or r >> 20 != entry >> 32:
                 continue  # stale: one of the two has been merged meanwhile
-            ids[i], ids[j] = merged, -1
+            merged = ids[i] = r & 0xFFFFF
+            ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := merges.get((merged, ids[k]))) is not None:
-                    heappush(queue, (r >> 32, i, merged, ids[k], r & 0xFFFFFFFF))
+                if (r := rule(merged << 20 | ids[k])) is not None:
+                    heappush(queue, r >> 20 << 32 | i)
             h = before[i]
-            if h >= 0 and (r := merges.get((ids[h], merged))) is not None:
-                heappush(queue, (r >> 32, h, ids[h], merged, r & 0xFFFFFFFF))
+            if h >= 0 and (r := rule(ids[h] << 20 | merged)) is not None:
+                heappush(queue, r >> 20 << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.young.get(piece)
+    def _piece(self, piece: str) -> str:
+        ids = self.old.get(piece)
         if ids is None:
-            ids = self.old.get(piece)
-            if ids is None:
-                ids = self.merge(piece.encode())
-            if len(piece) <= 64:
-                if len(self.young) >= self.size:
-                    self.old, self.young = self.young, {}
-                self.young[piece] = ids
+            ids = ",".join(map(str, self.merge(piece.encode())))
+        if len(piece) <= 64:
+            if len(self.young) >= self.size:
+                self.old, self.young = self.young, {}
+            self.young[piece] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        extend, known, piece_ids, special = out.extend, self.young.get, self._piece, self.special
+    def encode_text(self, text: str) -> str:
+        """The ids in decimal, joined by commas: one short string to remember for each pre-token."""
+        out: list[str] = []
         for part in self.cut(text) if self.cut else [text]:
-            if part in special:
-                out.append(special[part])
-                continue
-            for piece in self.split(part):
-                extend(known(piece) or piece_ids(piece))
-            known = self.young.get
-        return out
+            if part in self.special:
+                out.append(str(self.special[part]))
+            else:
+                known, piece = self.young.get, self._piece
+                out += [known(p) or piece(p) for p in self.split(part)]
+        return ",".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        ids = self.encode_text(text)
+        return list(map(int, ids.split(","))) if ids else []
+
+    def decode_text(self, ids: list[str]) -> str:
+        """Text of ids in decimal."""
+        return b"".join(map(self.named.__getitem__, ids)).decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
@@ -119,6 +132,7 @@ def coder(path: str) -> BytePairCoder:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with ``ids``, an array of token ids of ``text``."""
+    short_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "ids"]
 
     @F.pandas_udf("array<int>")
@@ -142,16 +156,18 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text decoded from them, of every row. The ids stay in the
     task: only digests leave it."""
+    short_batches(docs.sparkSession)
 
     def run(batches):
         own = coder(path)
         for batch in batches:
             counts, ids_hex, text_hex = [], [], []
             for text in batch.column(1).to_pylist():
-                ids = own.encode(text or "")
+                joined = own.encode_text(text or "")
+                ids = joined.split(",") if joined else []
                 counts.append(len(ids))
-                ids_hex.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                text_hex.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+                ids_hex.append(hashlib.sha256(joined.encode()).hexdigest())
+                text_hex.append(hashlib.sha256(own.decode_text(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DIGESTS)
