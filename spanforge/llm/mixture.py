@@ -62,32 +62,34 @@ def targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int =
     return table.withColumn("target", F.when(cap < free, cap.cast("double")).otherwise(free))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, seed: str = SEED) -> DataFrame:
-    """``docs`` with size, source_size, target, copies and taken. Texts are neither shuffled nor copied where the
+def _taken(docs: DataFrame, weights: tuple[int, ...], max_rate: int, seed: str) -> DataFrame:
+    """``docs`` with _sf_size, _sf_source_size, _sf_target and _sf_copies. Texts are neither shuffled nor copied where the
     sources fit a broadcast of checked size."""
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    sized = docs.select(*kept, word_count(F.col("text")).alias("size"))
-    table = targets(sized.select("source", "size"), weights, max_rate)
+    sized = docs.withColumn("_sf_size", word_count(F.col("text")))
+    table = targets(sized.select("source", F.col("_sf_size").alias("size")), weights, max_rate)
     few = table.limit(BROADCAST_SOURCES + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
-    side = table.select(F.col("source").alias("_sf_source"), "source_size", "target")
+    side = table.select(F.col("source").alias("_sf_source"), F.col("source_size").alias("_sf_source_size"), F.col("target").alias("_sf_target"))
     if few[0] <= BROADCAST_SOURCES and few[1] <= BROADCAST_BYTES:
         side = F.broadcast(side)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rate = F.when(F.col("_sf_source_size") > 0, F.col("_sf_target") / F.col("_sf_source_size")).otherwise(0.0)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10)
     whole = F.floor(rate)
     extra = F.when(draw.cast("double") / float(1 << 52) < rate - whole, 1).otherwise(0)
-    return (
-        sized.join(side, F.col("source").eqNullSafe(F.col("_sf_source")))
-        .drop("_sf_source")
-        .withColumn("copies", (whole + extra).cast("int"))
-        .withColumn("taken", F.col("size") * F.col("copies"))
-    )
+    return sized.join(side, F.col("source").eqNullSafe(F.col("_sf_source"))).withColumn("_sf_copies", (whole + extra).cast("int"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, seed: str = SEED) -> DataFrame:
+    """``docs`` with size, source_size, target, copies and taken."""
+    new = ("size", "source_size", "target", "copies")
+    kept = [c for c in docs.columns if c not in (*new, "taken")]
+    rows = _taken(docs, weights, max_rate, seed)
+    return rows.select(*kept, *[F.col(f"_sf_{c}").alias(c) for c in new], (F.col("_sf_size") * F.col("_sf_copies")).alias("taken"))
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
+def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_sf_copy")
-    return mix(docs, **options).where("copies > 0").select(*docs.columns, copies).drop("_sf_copy")
+    copies = F.explode(F.sequence(F.lit(1), F.col("_sf_copies"))).alias("_sf_copy")
+    return _taken(docs, weights, max_rate, seed).where("_sf_copies > 0").select(*docs.columns, copies).drop("_sf_copy")
 
 
 def oracle(seed: str = SEED) -> str:

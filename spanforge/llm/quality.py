@@ -192,18 +192,27 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit(np.array(kept["x"].tolist()), kept["quality"].to_numpy(float))
 
 
-def scored(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``."""
-    short_batches(docs.sparkSession)
-
+def _score(model: AdditiveModel) -> Column:
     @F.pandas_udf("double")
     def score(texts):
         import pandas as pd
 
         return pd.Series(model.score(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))), index=texts.index)
 
+    return score(F.col("text").cast("string"))
+
+
+def scored(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with ``score`` and ``predicted``."""
+    short_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("score", "predicted")]
-    return docs.select(*others, score(F.col("text").cast("string")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.select(*others, _score(model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
+    short_batches(docs.sparkSession)
+    return docs.withColumn("_sf_score", _score(model)).where(F.col("_sf_score") >= threshold).select(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -245,3 +245,10 @@ def test_alignment_equals_brute_force(docs_of):
                         expected.add((min(ids), min(others), offset, votes[offset]))
     assert expected
     assert {(r.query, r.match, r.offset, r.votes) for r in chroma.align(prints).collect()} == expected
+
+
+def test_columns_with_clashing_names_pass_unchanged(docs_of):
+    docs = docs_of([(i, f"words {i}", f"s{i % 3}") for i in range(9)])
+    for out in (mixture.emit(docs), quality.accepted(docs, quality.AdditiveModel()), exact_dedup.deduplicate(docs), ngram_join.one_of_each(docs)):
+        assert out.columns == docs.columns
+        assert {(r["size"], r.score, r.copies, r.digest, r.n, r.row) for r in out.collect()} == {("x",) * 6}
