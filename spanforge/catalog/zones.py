@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import zones as Z
-from ..plans.nesting import with_effective_end, with_self_time
+from ..plans.nesting import nest_blocks, with_effective_end, with_self_time
 from ..sources import adapters as A
 from .base import CTES, query
 
@@ -27,6 +27,11 @@ def _(spark, sf_dir):
     return zones(spark, sf_dir).select("zone_id", "thread", "name", "start", "end", "depth", "parent_id", "reentrant")
 
 
+@query("q22_nesting_blocks", "SELECT zone_id, start, stop AS \"end\", depth, parent_id, reentrant FROM zr", "zr")
+def _(spark, sf_dir):
+    return nest_blocks(A.trace_events(spark, sf_dir), DAY).select("zone_id", "start", "end", "depth", "parent_id", "reentrant")
+
+
 @query("q23_effective_end", "SELECT z.zone_id, coalesce(stop, m) AS end_eff FROM z JOIN (SELECT thread, max(greatest(start, coalesce(stop, start))) AS m FROM z GROUP BY thread) USING (thread)", "z")
 def _(spark, sf_dir):
     return with_effective_end(A.zones(spark, sf_dir)).select("zone_id", "end_eff")

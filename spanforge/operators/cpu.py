@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.blocks import running_sum
 from ..plans.intervals import as_of
 
 #: Names of thread states by code.
@@ -45,19 +46,13 @@ def process_rollup(threads: DataFrame, tid_pid: DataFrame) -> DataFrame:
 def usage(switches: DataFrame, own: Column) -> DataFrame:
     """How many CPUs run own and other threads, after each time at which that changes.
 
-    Changes are summed per time first; the running sum then goes over blocks of time and the sums of the blocks before,
-    so that no task sees all of a capture."""
+    Changes are summed per time first; the running sums then go over blocks of time, so no task sees all of a capture."""
     mine = F.when(own, 1).otherwise(0)
     closed = switches.where("end is not null")
     edges = closed.select("capture_id", F.col("start").alias("time"), mine.alias("o"), (1 - mine).alias("x")).unionByName(closed.select("capture_id", F.col("end").alias("time"), (-mine).alias("o"), (mine - 1).alias("x")))
-    steps = edges.groupBy("capture_id", "time").agg(F.sum("o").alias("o"), F.sum("x").alias("x"))
-    steps = steps.withColumn("block", F.call_function("div", F.col("time"), F.lit(1 << 40)))
-    totals = steps.groupBy("capture_id", "block").agg(F.sum("o").alias("bo"), F.sum("x").alias("bx"))
-    before = Window.partitionBy("capture_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("capture_id", "block", F.coalesce(F.sum("bo").over(before), F.lit(0)).alias("bo"), F.coalesce(F.sum("bx").over(before), F.lit(0)).alias("bx"))
-    inside = Window.partitionBy("capture_id", "block").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    rows = steps.join(base, ["capture_id", "block"]).withColumn("own", F.col("bo") + F.sum("o").over(inside)).withColumn("other", F.col("bx") + F.sum("x").over(inside))
-    return rows.where("o <> 0 or x <> 0").select("capture_id", "time", "own", "other")
+    steps = edges.groupBy("capture_id", "time").agg(F.sum("o").alias("o"), F.sum("x").alias("x")).where("o <> 0 or x <> 0")
+    both = running_sum(steps, ["capture_id"], ["time"], F.col("o"), "own")
+    return running_sum(both, ["capture_id"], ["time"], F.col("x"), "other").select("capture_id", "time", "own", "other")
 
 
 def usage_at(levels: DataFrame, times: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.blocks import previous
 from ..plans.intervals import covering
 from ..plans.stats import histogram, nearest_rank, sum_sq
 
@@ -79,15 +80,15 @@ def plot_lod(points: DataFrame, since: int, until: int, width: int) -> DataFrame
 
 
 def plot_changes(points: DataFrame) -> DataFrame:
-    w = Window.partitionBy("capture_id", "plot").orderBy("time", "seq")
-    return points.withColumn("change", F.col("val") - F.lag("val").over(w))
+    rows = previous(points, ["capture_id", "plot"], ["time", "seq"], "val", "before")
+    return rows.withColumn("change", F.col("val") - F.col("before")).drop("before")
 
 
 def power(points: DataFrame) -> DataFrame:
     """Watts from an energy counter in microjoules; a series' first sample only sets the base."""
-    w = Window.partitionBy("capture_id", "plot").orderBy("time", "seq")
-    dt = F.col("time") - F.lag("time").over(w)
-    rows = points.withColumn("dt", dt).withColumn("de", F.col("val") - F.lag("val").over(w))
+    keyed = points.withColumn("point", F.struct("time", "val"))
+    rows = previous(keyed, ["capture_id", "plot"], ["time", "seq"], "point", "before")
+    rows = rows.withColumn("dt", F.col("time") - F.col("before.time")).withColumn("de", F.col("val") - F.col("before.val"))
     return rows.where("dt > 0").select("plot", "seq", "time", (F.col("de") * 1000 / F.col("dt")).alias("watts"))
 
 

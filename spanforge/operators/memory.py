@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.blocks import running_sum
 from ..plans.intervals import as_of, covering
 from ..plans.stats import prefixes
 
@@ -45,8 +46,8 @@ def usage(events: DataFrame) -> DataFrame:
     """Bytes in use after each allocation and free of a pool; frees come first at equal times."""
     up = events.select("capture_id", "pool", F.col("time_alloc").alias("time"), F.lit(1).alias("side"), F.col("alloc_id").alias("seq"), F.col("size").alias("d"))
     down = events.where("time_free is not null").select("capture_id", "pool", F.col("time_free").alias("time"), F.lit(0).alias("side"), F.col("alloc_id").alias("seq"), (-F.col("size")).alias("d"))
-    w = Window.partitionBy("capture_id", "pool").orderBy("time", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return up.unionByName(down).withColumn("usage", F.sum("d").over(w)).select("pool", "time", "side", "seq", "usage")
+    both = up.unionByName(down)
+    return running_sum(both, ["capture_id", "pool"], ["time", "side", "seq"], F.col("d"), "usage").select("pool", "time", "side", "seq", "usage")
 
 
 def active_in(events: DataFrame, since: int, until: int) -> DataFrame:

@@ -68,9 +68,10 @@ def child_statistics(zones: DataFrame, name: str, max_parents: int = CAPS["paren
 
 def zones_in_frames(zones: DataFrame, frames: DataFrame) -> DataFrame:
     """Per frame and name: closed zones that start in the frame, with their full length; below closed parents only."""
-    open_above = zones.where("end is null").select("capture_id", F.col("zone_id").alias("ancestor_id"))
-    barred = ancestors(zones).where("distance > 0").join(open_above, ["capture_id", "ancestor_id"], "left_semi").select("capture_id", "zone_id").distinct()
-    closed = zones.where("dur is not null").join(barred, ["capture_id", "zone_id"], "left_anti")
+    # whatever begins on a thread after a zone that never closes lies below it
+    stuck = zones.where("end is null").groupBy("capture_id", "thread").agg(F.min(F.struct("start", "zone_id")).alias("stuck"))
+    joined = zones.where("dur is not null").join(stuck, ["capture_id", "thread"], "left")
+    closed = joined.where(F.col("stuck").isNull() | (F.struct("start", "zone_id") < F.col("stuck")))
     spans = frames.select("capture_id", "idx", "start", "end")
     points = closed.select("capture_id", F.col("start").alias("t"), "dur", "name")
     return covering(points, spans, ["capture_id"]).groupBy("idx", "name").agg(F.count(F.lit(1)).alias("count"), F.sum("dur").alias("total"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+from .blocks import last_before, running_min, running_sum
+
 
 def nest(events: DataFrame) -> DataFrame:
     """Zones of begin/end rows (capture_id, seq, time, thread, kind in begin/end, srcloc).
@@ -46,6 +49,33 @@ def _with_reentrancy(zones: DataFrame) -> DataFrame:
     return flagged.where("d = 1").drop("d", "t", "q")
 
 
+def nest_blocks(events: DataFrame, width: int) -> DataFrame:
+    """``nest`` for captures in which a few threads hold most events: no task sees all rows of a thread.
+
+    Sums and minima run within blocks of ``width`` ns and over the blocks before; the steps are written to the shared folder. At one level of a thread begins and ends
+    take turns, so the k-th end there closes the k-th begin: numbers from running counts and an equi-join pair them.
+    """
+    by, order = ["capture_id", "thread"], ["time", "seq"]
+    rows = events.where(F.col("kind").isin("begin", "end")).select(*by, *order, "srcloc", F.when(F.col("kind") == "begin", 1).otherwise(-1).alias("d"))
+    rows = running_min(running_sum(rows, by, order, F.col("d"), "s", width), by, order, "s", "low", width)
+    floor_before = F.least(F.lit(0), F.coalesce("low", F.lit(0)))
+    # an end on an empty stack takes the sum below all before
+    rows = rows.where((F.col("d") == 1) | (F.col("s") >= floor_before)).withColumn("open", F.col("s") - F.least(floor_before, F.col("s")))
+    rows = cut(rows.withColumn("level", F.when(F.col("d") == 1, F.col("open")).otherwise(F.col("open") + 1)), "nest-levels")
+    numbered = running_sum(rows, [*by, "level"], order, F.when(F.col("d") == 1, 1).otherwise(0), "begun", width)
+    begins = numbered.where("d = 1").select(*by, "level", F.col("begun").alias("k"), F.col("seq").alias("zone_id"), "srcloc", F.col("time").alias("start"))
+    ends = numbered.where("d = -1").select(*by, "level", F.col("begun").alias("k"), F.col("time").alias("end"), F.col("seq").alias("end_seq"))
+    zones = begins.join(ends, [*by, "level", "k"], "left").select(*by, "zone_id", "srcloc", "start", "end", "end_seq", (F.col("level") - 1).cast("int").alias("depth"))
+    zones = cut(zones, "nest-zones")
+    own = zones.withColumn("key", F.col("depth")).withColumn("candidate", F.lit(None).cast("long"))
+    both = own.unionByName(zones.withColumn("key", F.col("depth") + 1).withColumn("candidate", F.col("zone_id")))
+    up = last_before(both, [*by, "key"], ["start", "zone_id"], "candidate", "parent_id", width).where("candidate is null").drop("key", "candidate")
+    up = cut(up.withColumn("parent_id", F.when(F.col("depth") > 0, F.col("parent_id"))), "nest-parents")
+    marks = up.select("*", F.lit(1).alias("d"), F.col("start").alias("t"), F.col("zone_id").alias("q")).unionByName(up.where("end is not null").select("*", F.lit(-1).alias("d"), F.col("end").alias("t"), F.col("end_seq").alias("q")))
+    flagged = running_sum(marks, [*by, "srcloc"], ["t", "q"], F.col("d"), "n", width).where("d = 1")
+    return flagged.withColumn("reentrant", F.col("n") > 1).drop("d", "t", "q", "n")
+
+
 def with_effective_end(zones: DataFrame) -> DataFrame:
     """``end_eff``: an open zone ends with the last event below it. All that follows on its thread is below it."""
     last = F.max(F.greatest("start", F.coalesce("end", "start"))).over(Window.partitionBy("capture_id", "thread"))

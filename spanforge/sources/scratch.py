@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -15,3 +15,10 @@ def shared_path(spark: SparkSession, tag: str) -> str:
         base = tempfile.mkdtemp(prefix="spanforge-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/spanforge/{tag}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: what follows reads the table, not the plan behind it."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from spanforge.operators import zones as Z
-from spanforge.plans.nesting import ancestors, nest, with_effective_end, with_self_time
+from spanforge.plans.nesting import ancestors, nest, nest_blocks, with_effective_end, with_self_time
 
 SCHEMA = "capture_id string, thread long, seq long, time long, kind string, srcloc int"
 
@@ -36,7 +36,7 @@ def zones(spark, *rows):
     return Z.named(with_self_time(nest(trace(spark, *rows))), names)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(1, 2), st.sampled_from("BE"), st.integers(0, 2), st.integers(0, 3)), max_size=25))
 def test_random_streams_equal_a_stack(spark, steps):
     time, rows = 0, []
@@ -45,6 +45,8 @@ def test_random_streams_equal_a_stack(spark, steps):
         rows.append(("A", thread, i, time, "begin" if kind == "B" else "end", srcloc if kind == "B" else None))
     got = {r.zone_id: (r.depth, r.parent_id, r.end, r.reentrant) for r in nest(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == stack_machine(rows)
+    blocks = {r.zone_id: (r.depth, r.parent_id, r.end, r.reentrant) for r in nest_blocks(spark.createDataFrame(rows, SCHEMA), 4).collect()}
+    assert blocks == got
     up = {}
     for r in ancestors(nest(spark.createDataFrame(rows, SCHEMA))).collect():
         up.setdefault(r.zone_id, {})[r.distance] = r.ancestor_id
