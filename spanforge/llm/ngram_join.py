@@ -278,14 +278,14 @@ def _frequent(tokens: DataFrame, long: int) -> tuple[np.ndarray, float]:
     return np.sort(top), float(total[0] or 0) / float(total[1] or 1)
 
 
-def _moved_shingles(sets: DataFrame, docs: DataFrame, long: int) -> tuple[np.ndarray, np.ndarray, DataFrame | None, float]:
+def _moved_shingles(sets: DataFrame, docs: DataFrame, long: int) -> tuple[np.ndarray, np.ndarray, DataFrame | None, list[str], float]:
     """Shingles that go to the end of the order; those whose lists stay long all the same; the full sets that have one of
-    either in their prefix; mean entries scanned a row."""
+    either in their prefix, and where these are written; mean entries scanned a row."""
     spark, empty = docs.sparkSession, np.zeros(0, np.int64)
     moved, scanned = _frequent(sets.select(F.explode("prefix").alias("token")), long)
     if not len(moved):
-        return moved, empty, None, scanned
-    full = cut(_sets_of(docs, cut(_touched(spark, sets, moved), "join-touched")), "join-moved")
+        return moved, empty, None, [], scanned
+    full, path = cut_to(_sets_of(docs, cut(_touched(spark, sets, moved), "join-touched")), "join-moved")
     for k in range(ROUNDS):
         # only shingles that moving others has brought into a prefix can have made a list longer
         still, _ = _frequent(_moved_prefixes(spark, full, moved, empty, "fresh").select("token"), long)
@@ -294,7 +294,8 @@ def _moved_shingles(sets: DataFrame, docs: DataFrame, long: int) -> tuple[np.nda
         moved = np.union1d(moved, still)
     # one order for all: every set that has one of these shingles in its prefix is ordered anew
     late = cut(_touched(spark, sets, np.union1d(moved, still)).join(bounded_side(full.select("sid")), "sid", "left_anti"), "join-touched")
-    return moved, still, full.unionByName(cut(_sets_of(docs, late), "join-moved")), scanned
+    more, more_path = cut_to(_sets_of(docs, late), "join-moved")
+    return moved, still, full.unionByName(more), [path, more_path], scanned
 
 
 def _touched(spark: SparkSession, sets: DataFrame, moved: np.ndarray) -> DataFrame:
@@ -386,7 +387,7 @@ def join_classes(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFram
     extra = new.select("sid", "more", "file", "row").join(first, ["sid", "more"]).where("struct(file, row) <> keep").select("file", "row")
     sets = new.join(bounded_side(cut(extra, "join-extra")), ["file", "row"], "left_anti")
 
-    moved, still, full, scanned = _moved_shingles(sets, docs, long)
+    moved, still, full, paths, scanned = _moved_shingles(sets, docs, long)
     few = {r["n"]: r["count"] for r in sets.where(F.col("n") <= 5 * MOST_SMALL // 4).groupBy("n").count().collect()}
     small = boundary(few, scanned)
     links = _small_links(sets, small)
@@ -399,7 +400,8 @@ def join_classes(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFram
         others = sets.where(listed).join(bounded_side(full.select("sid")), "sid", "left_anti").select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
         lists = others.select("token", "sid", "n", "pos").unionByName(_moved_prefixes(spark, full, moved, still, "plain").where(listed))
         entries = cut(_moved_prefixes(spark, full, moved, still, "long").where(listed), "join-long")
-    pairs = lists.repartition("token").mapInArrow(_scan_lists, "a long, b long")
+    pairs = cut(lists.repartition("token").mapInArrow(_scan_lists, "a long, b long").distinct(), "join-pairs")
+    drop_tables(spark, *paths)
     if entries is None:
         links = links.unionByName(_verified(docs, sets, pairs))
         return base, components(links)
