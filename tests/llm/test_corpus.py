@@ -214,7 +214,8 @@ def test_fingerprints_align_a_shifted_recording(spark):
     assert got[20].class_id == 0 and got[3].n_codes == 0 and got[4].best_id is None
 
 
-def test_alignment_equals_brute_force(docs_of):
+@pytest.mark.parametrize("long", [64, 3])
+def test_alignment_equals_brute_force(docs_of, long):
     from spanforge.llm.common import cut
 
     rnd = random.Random(2)
@@ -244,7 +245,7 @@ def test_alignment_equals_brute_force(docs_of):
                     if votes[offset] >= chroma.MIN_VOTES and chroma.bit_errors(np.array(a), np.array(b), offset) <= chroma.MAX_ERROR:
                         expected.add((min(ids), min(others), offset, votes[offset]))
     assert expected
-    assert {(r.query, r.match, r.offset, r.votes) for r in chroma.align(prints).collect()} == expected
+    assert {(r.query, r.match, r.offset, r.votes) for r in chroma.align(prints, long=long).collect()} == expected
 
 
 def test_columns_with_clashing_names_pass_unchanged(docs_of):
