@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -90,6 +92,24 @@ def short_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
+def trimmed(work):
+    """A function over Arrow batches that, when it is done, gives freed memory back to the system: idle Python workers
+    count as their executor's memory."""
+
+    @functools.wraps(work)
+    def run(batches):
+        yield from work(batches)
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def word_count(text: Column) -> Column:
     """Number of `[^\\x20\\x09-\\x0D]+` in a text; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_side, cut, cut_to, drop_tables, located, short_batches, without_rows
+from .common import bounded_side, cut, cut_to, drop_tables, located, short_batches, trimmed, without_rows
 from .components import components
 
 WORDS = 5
@@ -51,7 +51,7 @@ _SHIFT = np.uint64(31)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -135,6 +135,7 @@ def boundary(sizes: dict[int, int], scanned: float) -> int:
 _LISTS = pa.list_(pa.int64())
 
 
+@trimmed
 def _digest_sets(batches):
     """Of each row its set's size and digest; the prefix, bitmap and small set where the digest is new to the task."""
     seen: set[tuple[int, int]] = set()
@@ -160,6 +161,7 @@ def _digest_sets(batches):
             )
 
 
+@trimmed
 def _full_sets(batches):
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -176,6 +178,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return at.join(rows, ["_sf_file", "_sf_row"], "left_semi").select("_sf_row", "text").mapInArrow(_full_sets, "sid long, tokens array<long>")
 
 
+@trimmed
 def _scan_lists(batches):
     """All lists of a partition: pairs of sets that share an entry and can still share enough after it."""
     tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
@@ -215,6 +218,7 @@ def _rows_of(lists: pa.ListArray) -> list[np.ndarray]:
     return np.split(lists.flatten().to_numpy(), ends[:-1]) if len(ends) else []
 
 
+@trimmed
 def _passing(batches):
     """Pairs whose bitmaps differ in no more bits than their shingles may."""
     for batch in batches:
@@ -309,7 +313,7 @@ def _touched(spark: SparkSession, sets: DataFrame, moved: np.ndarray) -> DataFra
             hits = np.bincount(np.repeat(np.arange(len(ends)), ends)[_among(flat, m)], minlength=len(ends)) > 0
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(hits)) for i in range(3)], ["sid", "file", "row"])
 
-    return sets.select("sid", "file", "row", "prefix").mapInArrow(run, "sid long, file string, row long")
+    return sets.select("sid", "file", "row", "prefix").mapInArrow(trimmed(run), "sid long, file string, row long")
 
 
 def _moved_prefixes(spark: SparkSession, full: DataFrame, moved: np.ndarray, still: np.ndarray, which: str) -> DataFrame:
@@ -343,7 +347,7 @@ def _moved_prefixes(spark: SparkSession, full: DataFrame, moved: np.ndarray, sti
                 ["token", "sid", "n", "pos"],
             )
 
-    return full.select("sid", "tokens").mapInArrow(run, "token long, sid long, n int, pos int")
+    return full.select("sid", "tokens").mapInArrow(trimmed(run), "token long, sid long, n int, pos int")
 
 
 def _fits(a: str, b: str) -> str:
