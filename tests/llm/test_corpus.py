@@ -248,6 +248,14 @@ def test_alignment_equals_brute_force(docs_of, long):
     assert {(r.query, r.match, r.offset, r.votes) for r in chroma.align(prints, long=long).collect()} == expected
 
 
+def test_short_recordings_have_codes_and_classes(spark):
+    noise = lambda n, seed: np.random.default_rng(seed).integers(0, 256, n, np.uint8).tobytes()
+    rows = [(1, noise(900, 1)), (2, noise(900, 1)), (3, noise(900, 2)), (4, b"x"), (5, b"x"), (6, None), (7, b""), (8, noise(1151, 3)), (9, noise(1152, 3))]
+    got = {r.doc_id: r for r in chroma.report(spark.createDataFrame(rows, "doc_id long, text binary")).collect()}
+    assert {i: got[i].n_codes for i in got} == {1: 8, 2: 8, 3: 8, 4: 1, 5: 1, 6: 0, 7: 0, 8: 9, 9: 1}
+    assert {i: got[i].class_id for i in got} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 9}
+
+
 def test_columns_with_clashing_names_pass_unchanged(docs_of):
     docs = docs_of([(i, f"words {i}", f"s{i % 3}") for i in range(9)])
     for out in (mixture.emit(docs), quality.accepted(docs, quality.AdditiveModel()), exact_dedup.deduplicate(docs), ngram_join.one_of_each(docs)):
