@@ -256,6 +256,21 @@ def test_short_recordings_have_codes_and_classes(spark):
     assert {i: got[i].class_id for i in got} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 9}
 
 
+def test_search_finds_copies_whose_codes_differ(spark):
+    rnd = np.random.default_rng(4)
+    tone = lambda n: 60 * np.sin(np.cumsum(np.repeat(rnd.uniform(0.1, 1.2, n // 400 + 1), 400)[:n]))
+    noisy = lambda x: (128 + x + rnd.normal(0, 12, len(x))).clip(0, 255).astype(np.uint8).tobytes()
+    wholes = [tone(6000) for _ in range(8)]
+    rows = [(20 * k, noisy(x)) for k, x in enumerate(wholes)] + [(20 * k + 1, noisy(x[64:])) for k, x in enumerate(wholes)]
+    rows.append((201, rows[0][1][:1200]))
+    prints = chroma.cut(chroma.fingerprints(spark.createDataFrame(rows, "doc_id long, text binary"), "doc_id", "text"), "test")
+    found = {(r.query, r.match) for r in chroma.search(prints).collect()}
+    strict = {(r.query, r.match) for r in chroma.align(prints).collect()}
+    pairs = {(20 * k, 20 * k + 1) for k in range(8)}
+    assert strict <= found and len(pairs & strict) < 4 and len(pairs & found) >= 7
+    assert (0, 201) in found  # one code
+
+
 def test_columns_with_clashing_names_pass_unchanged(docs_of):
     docs = docs_of([(i, f"words {i}", f"s{i % 3}") for i in range(9)])
     for out in (mixture.emit(docs), quality.accepted(docs, quality.AdditiveModel()), exact_dedup.deduplicate(docs), ngram_join.one_of_each(docs)):
