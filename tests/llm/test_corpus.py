@@ -271,6 +271,16 @@ def test_search_finds_copies_whose_codes_differ(spark):
     assert (0, 201) in found  # one code
 
 
+def test_report_has_all_matches(spark):
+    rnd = np.random.default_rng(5)
+    base = 60 * np.sin(np.cumsum(np.repeat(rnd.uniform(0.1, 1.2, 20), 400)))
+    rows = [(i, (128 + base + rnd.normal(0, 2, len(base))).clip(0, 255).astype(np.uint8).tobytes()) for i in range(5)]
+    rows.append((40, rows[0][1]))
+    got = {r.doc_id: r for r in chroma.report(spark.createDataFrame(rows, "doc_id long, text binary")).collect()}
+    assert {m.match for m in got[0].matches} == {1, 2, 3, 4} and got[0].n_matches == 4
+    assert got[0].matches[0].match == got[0].best_id == got[40].best_id and got[40].matches is None and got[1].matches == []
+
+
 def test_columns_with_clashing_names_pass_unchanged(docs_of):
     docs = docs_of([(i, f"words {i}", f"s{i % 3}") for i in range(9)])
     for out in (mixture.emit(docs), quality.accepted(docs, quality.AdditiveModel()), exact_dedup.deduplicate(docs), ngram_join.one_of_each(docs)):
