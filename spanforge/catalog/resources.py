@@ -45,7 +45,7 @@ def _(spark, sf_dir):
 
 @query("q83_memory_events", "SELECT alloc_id, ptr, size FROM me WHERE pool = 'pool1' ORDER BY alloc_id LIMIT 1000", "me")
 def _(spark, sf_dir):
-    return mem(spark, sf_dir).where("pool = 'pool1'").orderBy("alloc_id").limit(1000).select("alloc_id", "ptr", "size")
+    return M.listing(mem(spark, sf_dir), "pool1", 1000).select("alloc_id", "ptr", "size")
 
 
 @query("q84_active_allocations", f"SELECT alloc_id, size FROM me WHERE time_alloc >= {SINCE} AND time_alloc < {UNTIL} AND (time_free IS NULL OR time_free >= {UNTIL})", "me")
@@ -169,7 +169,7 @@ def _(spark, sf_dir):
 
 @query("q95_thread_switches", 'SELECT start, stop AS "end", cpu, reason, state FROM cs WHERE thread = 3 AND stop IS NOT NULL ORDER BY start, seq LIMIT 1000', "cs")
 def _(spark, sf_dir):
-    return A.context_switches(spark, sf_dir).where("thread = 3 and end is not null").orderBy("start", "seq").limit(1000).select("start", "end", "cpu", "reason", "state")
+    return C.thread_switches(A.context_switches(spark, sf_dir), 3).select("start", "end", "cpu", "reason", "state")
 
 
 _TD = "td AS (SELECT thread, CAST(coalesce(sum(stop - start), 0) AS BIGINT) AS running_time, count(*) AS regions, count(*) FILTER (cpu <> b) AS migrations FROM (SELECT *, lag(cpu) OVER (PARTITION BY thread ORDER BY start, seq) AS b FROM cs) GROUP BY thread)"

@@ -28,6 +28,11 @@ def intervals(switches: DataFrame, wakeups: DataFrame | None = None) -> tuple[Da
     return runs.select("capture_id", "cpu", "seq", "start", "end", "thread"), by_thread
 
 
+def thread_switches(switches: DataFrame, thread: int, max_count: int = 50_000) -> DataFrame:
+    """Ended runs of one thread in order of start, up to ``max_count``."""
+    return switches.where((F.col("thread") == thread) & F.col("end").isNotNull()).orderBy("start", "seq").limit(max_count)
+
+
 def thread_data(switches: DataFrame) -> DataFrame:
     """Running time, regions and migrations (a CPU other than before) of each thread."""
     w = Window.partitionBy("capture_id", "thread").orderBy("start", "seq")

@@ -130,6 +130,13 @@ def test_texts(spark):
     assert [r.n for r in f.where(P.text_filter(F.col("n"), "ALPHA, -bet")).collect()] == ["alpha"]
 
 
+def test_listings_are_whole_by_default(spark):
+    rows = spark.range(3000).select(F.col("id").alias("alloc_id"), F.when(F.col("id") < 1500, "a").otherwise("b").alias("pool"))
+    assert (memory.listing(rows).count(), memory.listing(rows, "a").count(), memory.listing(rows, "b", 9).count()) == (3000, 1500, 9)
+    runs = spark.range(3000).select(F.col("id").alias("seq"), F.col("id").alias("start"), (F.col("id") + 1).alias("end"), F.lit(3).alias("thread"))
+    assert (cpu.thread_switches(runs, 3).count(), cpu.thread_switches(runs, 3, 9).count(), cpu.thread_switches(runs, 4).count()) == (3000, 9, 0)
+
+
 def test_cpu_states(spark):
     df = spark.createDataFrame([(2,), (99,)], "c int")
     assert [r.s for r in df.select(cpu.state_name(F.col("c")).alias("s")).collect()] == ["Running", "Unknown"]
