@@ -59,9 +59,11 @@ def root_statistics(zones: DataFrame) -> DataFrame:
     return zones.where("parent_id is null and dur is not null").groupBy("name").agg(*pooled())
 
 
-def child_statistics(zones: DataFrame, name: str, max_parents: int = CAPS["parents"]) -> DataFrame:
-    """Direct closed children of the closed zones called ``name``: the first ``max_parents`` by start, where there are more."""
-    parents = zones.where((F.col("name") == name) & F.col("end").isNotNull()).orderBy("start", "zone_id").limit(max_parents)
+def child_statistics(zones: DataFrame, name: str, max_parents: int | None = None) -> DataFrame:
+    """Direct closed children of the closed zones called ``name``; ``max_parents``: of the first so many by start."""
+    parents = zones.where((F.col("name") == name) & F.col("end").isNotNull())
+    if max_parents is not None:
+        parents = parents.orderBy("start", "zone_id").limit(max_parents)
     own = parents.select("capture_id", F.col("zone_id").alias("parent_id"))
     return zones.where("dur is not null").join(own, ["capture_id", "parent_id"], "left_semi").groupBy("name").agg(*pooled())
 

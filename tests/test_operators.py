@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import predicates as P
 from spanforge.operators import cpu, findzone, frames, gpu, locks, memory, sampling, trace
+from spanforge.operators import zones as zone_operators
 from spanforge.plans import stats
 from spanforge.plans.intervals import as_of, covering, overlapping
 
@@ -137,6 +138,17 @@ def test_listings_are_whole_by_default(spark):
     assert (cpu.thread_switches(runs, 3).count(), cpu.thread_switches(runs, 3, 9).count(), cpu.thread_switches(runs, 4).count()) == (3000, 9, 0)
 
 
+def test_child_statistics_take_all_parents(spark):
+    n = 100_001
+    pairs = spark.range(2 * n).select(
+        F.lit(0).alias("capture_id"), F.col("id").alias("zone_id"), F.when(F.col("id") >= n, F.col("id") - n).alias("parent_id"), F.when(F.col("id") < n, "view").otherwise("click").alias("name"),
+        F.col("id").alias("start"), (F.col("id") + 5).alias("end"), F.lit(5).cast("long").alias("dur"),
+    )
+    count = lambda df: {r.name: r[1] for r in df.select("name", "count").collect()}
+    assert count(zone_operators.child_statistics(pairs, "view")) == {"click": n}
+    assert count(zone_operators.child_statistics(pairs, "view", 10)) == {"click": 10}
+
+
 def test_cpu_states(spark):
     df = spark.createDataFrame([(2,), (99,)], "c int")
     assert [r.s for r in df.select(cpu.state_name(F.col("c")).alias("s")).collect()] == ["Running", "Unknown"]
