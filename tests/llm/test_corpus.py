@@ -281,6 +281,15 @@ def test_report_has_all_matches(spark):
     assert got[0].matches[0].match == got[0].best_id == got[40].best_id and got[40].matches is None and got[1].matches == []
 
 
+def test_all_places_of_a_motif_vote():
+    rnd = np.random.default_rng(6)
+    a, b, c = (rnd.integers(0, 1 << 32, n) for n in (150, 60, 140))
+    whole, part = np.concatenate([a, b, a, c]), np.concatenate([a, c])
+    assert chroma.offset_votes(whole, part) == (-210, 289)
+    offset, votes, error = chroma.best_offset(whole, part)
+    assert (offset, error) == (-210, 0.0) and votes >= 290
+
+
 def test_columns_with_clashing_names_pass_unchanged(docs_of):
     docs = docs_of([(i, f"words {i}", f"s{i % 3}") for i in range(9)])
     for out in (mixture.emit(docs), quality.accepted(docs, quality.AdditiveModel()), exact_dedup.deduplicate(docs), ngram_join.one_of_each(docs)):
