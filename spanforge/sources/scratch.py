@@ -1,24 +1,51 @@
-"""A folder that all executors see, for tables that a query writes on its way."""
+"""A folder that driver and executors share, for tables that a query writes on its way; they go when the driver ends."""
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where that is unset, an own folder if all tasks run in this process; on a cluster that
+    would be another disk on each machine, so it is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="spanforge-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, or below an own folder where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spanforge-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/spanforge/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/spanforge/{tag}-{uuid.uuid4().hex}"
+    atexit.register(drop, spark, path)
+    return path
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: what follows reads the table, not the plan behind it."""
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that no later plan reads."""
+    for path in paths:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session may have ended before; the folder then is the cluster's to clean
+            pass
+
+
+def cut_to(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it again: what follows reads the table, not the plan behind it, and
+    survives lost executors."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    return cut_to(df, tag)[0]

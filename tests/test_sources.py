@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import struct
 
+import pytest
 import zstandard
 
-from spanforge.sources import chrome, fxt, store
+from spanforge.sources import chrome, fxt, scratch, store
 from spanforge.streaming import ingest
 
 EVENTS = [
@@ -79,3 +80,28 @@ def test_stream_keeps_open_zones_over_batches(spark, tmp_path):
     log = ingest.event_log(spark, f"{tmp_path}/log", schema, files_per_batch=1)
     got = ingest.capture(log, f"{tmp_path}/zones", f"{tmp_path}/cp").collect()
     assert sorted((r.zone_id, r.start, r.end, r.depth, r.self_time, r.reentrant) for r in got) == [(0, 0, 9, 0, 4, False), (1, 1, 2, 1, 1, True), (3, 3, 7, 1, 4, False)]
+
+
+class _Session:
+    """What ``shared_dir`` asks a session for."""
+
+    def __init__(self, master, path=None):
+        self.master, self.path, self.sparkContext, self.conf = master, path, self, self
+
+    def get(self, key, default):
+        return self.path if key == "spark.checkpoint.dir" and self.path else default
+
+    def getCheckpointDir(self):
+        return None
+
+    def setCheckpointDir(self, path):
+        self.path = path
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://h"):
+        with pytest.raises(ValueError, match="share"):
+            scratch.shared_dir(_Session(master))
+        assert scratch.shared_dir(_Session(master, "hdfs://x/")) == "hdfs://x"
+    for master in ("local", "local[4]", "local[*]", "local[2,3]"):
+        assert "spanforge-" in scratch.shared_dir(_Session(master))
