@@ -2,86 +2,88 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import tempfile
-import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: A side with at most this many keys of 8 to 40 bytes may be broadcast; above it the join is shuffled.
-BROADCAST_KEYS = 200_000
-#: White space of the word definition `[^\x20\x09-\x0D]+`.
-SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spanforge-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/spanforge/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended before; the folder then is the cluster's to clean
-        pass
-
+from ..sources.scratch import cut, cut_to, drop, shared_path
 
-def drop_tables(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that ``cut_to`` wrote and that no later plan reads."""
-    for path in paths:
-        _drop(spark, path)
+__all__ = ["bounded_side", "cut", "cut_to", "documents", "drop_tables", "located", "locator", "shared_path", "short_batches", "trimmed", "without_rows", "word_count"]
 
+#: A side with at most this many rows and bytes may be broadcast; above either the join is shuffled.
+BROADCAST_KEYS, BROADCAST_BYTES = 200_000, 8 << 20
+#: White space of the word definition `[^\x20\x09-\x0D]+`.
+SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
+#: Plan nodes that keep a file's rows one by one: at most one row comes out for each row of the file.
+_ROW_BY_ROW = frozenset(("Project", "Filter", "SubqueryAlias", "View"))
 
-def cut_to(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it again: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+drop_tables = drop
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    return cut_to(df, tag)[0]
+def _one_file_relation(df: DataFrame) -> bool:
+    """Whether ``df`` only filters and projects, always alike, the rows of one file relation that reads no file twice."""
+    node = df._jdf.queryExecution().analyzed()
+    if not node.deterministic():
+        return False
+    while node.children().size() == 1:
+        if node.nodeName() not in _ROW_BY_ROW:
+            return False
+        node = node.children().apply(0)
+    if node.nodeName() != "LogicalRelation" or node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    roots = node.relation().location().rootPaths()
+    paths = sorted(f"{roots.apply(i).toString().rstrip('/')}/" for i in range(roots.size()))
+    return not any(b.startswith(a) for a, b in zip(paths, paths[1:], strict=False))
 
 
 def located(df: DataFrame) -> DataFrame:
-    """Rows of files as they are; anything else is written first. Each row then has a locator that stays the same:
-    ``_metadata.file_path`` and ``_metadata.row_index``."""
+    """Rows of files as they are; anything else (joins, exploded or united rows, limits, random filters, other sources) is
+    written first. Each row then has a locator of its own that stays the same: ``_metadata.file_path`` and
+    ``_metadata.row_index``."""
     try:
         df.select("_metadata.file_path", "_metadata.row_index")
-        return df
+        plain = _one_file_relation(df)
     except AnalysisException:
-        return cut(df, "located")
+        plain = False
+    return df if plain else cut(df, "located")
 
 
-def without_rows(df: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of a located ``df`` but those whose locators ``gone`` has as ``file`` and ``row``."""
-    gone = cut(gone.select(F.col("file").alias("_sf_file"), F.col("row").alias("_sf_row")), "gone")
-    at = df.select("*", F.col("_metadata.file_path").alias("_sf_file"), F.col("_metadata.row_index").alias("_sf_row"))
-    return at.join(bounded_side(gone), ["_sf_file", "_sf_row"], "left_anti").select(*df.columns)
+def locator(file: str, row: str) -> list[Column]:
+    """A locator in 24 bytes: two hashes of the path, which has no bounded length, and the row."""
+    return [F.xxhash64(file).alias("_sf_file"), F.xxhash64(file, F.lit(1)).alias("_sf_more"), F.col(row).alias("_sf_row")]
 
 
-def bounded_side(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows (counted, at most one row beyond); else as it is,
-    so that the join is shuffled and adaptive execution splits its hot keys."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def without_rows(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of a located ``df`` but those whose locators ``gone`` has as ``file`` and ``row``."""
+    gone = cut(gone.select(*locator("file", "row")), "gone")
+    at = df.select("*", *locator("_metadata.file_path", "_metadata.row_index"))
+    return at.join(bounded_side(gone), ["_sf_file", "_sf_more", "_sf_row"], "left_anti").select(*df.columns)
+
+
+def _bytes(column: Column, kind: DataType) -> Column:
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StringType | BinaryType | ArrayType | StructType):
+            raise TypeError(f"the size of {kind.simpleString()} isn't counted")
+        return F.greatest(F.size(column), F.lit(0)) * 8 + 24
+    if isinstance(kind, StructType):
+        return functools.reduce(lambda a, b: a + b, [_bytes(column[f.name], f.dataType) for f in kind.fields], F.lit(8))
+    return F.lit(8)
+
+
+def bounded_side(df: DataFrame, limit: int = BROADCAST_KEYS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows of at most ``most_bytes`` in all (measured; of more
+    rows only one beyond the limit is looked at); else as it is, so that the join is shuffled and adaptive execution splits
+    its hot keys."""
+    few = df.limit(limit + 1)
+    size = functools.reduce(lambda a, b: a + b, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(8))
+    n, total = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and total <= most_bytes else df
 
 
 def short_batches(spark: SparkSession, rows: int = 500) -> None:

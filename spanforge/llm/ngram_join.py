@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_side, cut, cut_to, drop_tables, located, short_batches, trimmed, without_rows
+from .common import bounded_side, cut, cut_to, drop_tables, located, locator, short_batches, trimmed, without_rows
 from .components import components
 
 WORDS = 5
@@ -173,9 +173,9 @@ def _full_sets(batches):
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid, tokens of the sets whose rows ``wanted`` (a written table) has as file and row, from the texts."""
-    rows = bounded_side(wanted.select(F.xxhash64("file").alias("_sf_file"), F.col("row").alias("_sf_row")))
-    at = docs.select(F.xxhash64("_metadata.file_path").alias("_sf_file"), F.col("_metadata.row_index").alias("_sf_row"), F.col("text").cast("string").alias("text"))
-    return at.join(rows, ["_sf_file", "_sf_row"], "left_semi").select("_sf_row", "text").mapInArrow(_full_sets, "sid long, tokens array<long>")
+    rows = bounded_side(wanted.select(*locator("file", "row")))
+    at = docs.select(*locator("_metadata.file_path", "_metadata.row_index"), F.col("text").cast("string").alias("text"))
+    return at.join(rows, ["_sf_file", "_sf_more", "_sf_row"], "left_semi").select("_sf_row", "text").mapInArrow(_full_sets, "sid long, tokens array<long>")
 
 
 @trimmed
