@@ -2,10 +2,12 @@
 
 A rule is compiled to a regular expression over host and path and filed under that of its literal tokens (host labels
 and whole path segments) which occurs in the fewest URLs of the table. The tokens of a URL fetch its candidate rules;
-only their expressions run. Of the rules that fit, the longest wins, then the first by code point.
+only their expressions run. Of the rules that fit, the longest wins, then the first by code point. A list of rules travels
+to the tasks (``judge``); a table of rules of any size is joined by token (``judge_by_table``), as a longer list is.
 
-Defined results: a null url, or one without `://`, has an empty host and path and no rule; an empty table gives an empty
-result; other columns and repeated rows play no part, one row comes out for each row that goes in.
+Defined results: a null url, or one without `://`, has an empty host and path and no rule; of rules with the same host and
+path the first by verdict counts; no rules at all leave each url to the method's verdict; an empty table gives an empty
+result; other columns, whatever their names, and repeated rows play no part, one row comes out for each row that goes in.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 DEFAULT = "allow"
-#: Rules travel to the tasks with the code; larger lists belong in a table of their own.
-MAX_RULES = 100_000
+#: Up to so many rules of up to so many characters in all travel to the tasks with the code; a larger list becomes a table.
+LISTED_RULES, LISTED_LENGTH = 20_000, 1 << 20
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 
 
@@ -94,9 +98,11 @@ def rule_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, lis
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages``."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    index = rule_index(tuple(rules), token_counts(pages, tuple(rules)))
+    if len(rules) > LISTED_RULES or sum(len(r.name) + len(r.verdict) for r in rules) > LISTED_LENGTH:
+        table = pages.sparkSession.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
+        return judge_by_table(pages, table, default)
+    rules = tuple({(r.host, r.path): r for r in sorted(rules, key=lambda r: r.verdict, reverse=True)}.values())
+    index = rule_index(rules, token_counts(pages, rules))
 
     def run(batches):
         compiled = {t: [(re.compile(r.pattern), r) for r in found] for t, found in index.items()}
@@ -115,6 +121,44 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = DEFA
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(run, SCHEMA)
 
 
+def _parts(pages: DataFrame) -> DataFrame:
+    """uid, page_id, host, path of every row; uid is stable once this is written."""
+    url = F.col("url").cast("string")
+    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
+    rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col("page_id").cast("long").alias("page_id"), url.alias("url"))
+    rows = rows.select("uid", "page_id", F.coalesce(rest, F.lit("")).alias("rest"))
+    upper, lower = ("".join(map(chr, range(a, a + 26))) for a in (65, 97))
+    host = F.translate(F.regexp_extract("rest", r"^([^/?#]*)", 1), upper, lower)
+    return rows.select("uid", "page_id", host.alias("host"), F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1).alias("path"))
+
+
+def _tokens(host: str, path: Column) -> Column:
+    named = lambda letter, parts: F.transform(parts, lambda x: F.concat(F.lit(letter), x))
+    return F.array_distinct(F.concat(named("h:", F.split(host, r"\.")), named("p:", F.filter(path, lambda x: x != ""))))
+
+
+def _quoted(x: str) -> Column:
+    return F.concat(F.lit("\\Q"), F.replace(F.col(x), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def judge_by_table(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
+    """``judge`` for a table of rules (host, path, verdict) of any size: tokens are counted, rules filed and candidates
+    fetched by joins on the token; only candidates meet an expression."""
+    rows = cut(_parts(pages), "url-parts")
+    held = cut(rows.select("uid", F.explode(_tokens("host", F.split("path", "/"))).alias("token")), "url-tokens")
+    rules = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict")).withColumn("rule", F.concat("host", "path"))
+    pattern = F.concat(F.lit(r"(?s)^(?:.*\.)?"), _quoted("host"), F.lit("\n"), _quoted("path"))
+    inner = F.expr("slice(split(path, '/'), 2, greatest(size(split(path, '/')) - 2, 0))")  # the path's first part and its unclosed last one are no tokens
+    rules = cut(rules.select("rule", "verdict", pattern.alias("pattern"), _tokens("host", inner).alias("tokens")), "url-rules")
+    filed = rules.select("rule", F.explode("tokens").alias("token"))
+    counts = held.join(filed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = filed.join(counts, "token", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
+    index = rarest.join(rules.select("rule", "verdict", "pattern"), "rule")
+    met = held.join(index, "token").join(rows.select("uid", F.concat_ws("\n", "host", "path").alias("at")), "uid").where("at rlike pattern")
+    best = met.groupBy("uid").agg(F.min(F.struct((-F.length("rule")).alias("longest"), "rule", "verdict")).alias("b"))
+    return rows.join(best, "uid", "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+
+
 def oracle(rules: tuple[Rule, ...] = RULES, default: str = DEFAULT) -> str:
     longest = sorted(rules, key=lambda r: (-len(r.name), r.name))
     fits = [(f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))", r) for r in longest]
