@@ -36,10 +36,25 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def _checked(spec: dict) -> dict:
+    """``spec`` if it is a file of the kind that this coder follows; anything else would give other ids without a word."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback") if model.get(k)]
+    wrong += [] if model.get("type", "BPE") == "BPE" else ["model.type"]
+    wrong += ["normalizer"] if spec.get("normalizer") else []
+    wrong += [] if before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) else ["pre_tokenizer"]
+    wrong += [] if (spec.get("decoder") or {}).get("type") == "ByteLevel" else ["decoder"]
+    wrong += ["added_tokens"] if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized")) else []
+    wrong += ["vocab"] if max([*model["vocab"].values(), *[t["id"] for t in spec["added_tokens"]]]) >= 1 << 20 else []
+    if wrong:
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(wrong)}")
+    return spec
+
+
 class BytePairCoder:
     def __init__(self, path: str, size: int = DICTIONARY):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = _checked(json.load(f))
         vocab = spec["model"]["vocab"]
         letters = byte_letters()
         value = {c: b for b, c in enumerate(letters)}

@@ -37,11 +37,21 @@ def unescape(text: str) -> str:
     return text.replace("&lt;|", "<|").replace("&amp;", "&")
 
 
-@lru_cache(4096)
-def _turn(role: str, text: str) -> str:
+#: Turns of up to so many characters are remembered while their conversation is rendered again and again; 1024 of them at most.
+SHORT_TURN = 4096
+
+
+def _long_turn(role: str, text: str) -> str:
     return f"{START}{escape(role).replace(chr(10), '&#10;')}\n{escape(text)}{END}\n"
 
 
+_short_turn = lru_cache(1024)(_long_turn)
+
+
+def _turn(role: str, text: str) -> str:
+    return (_short_turn if len(role) + len(text) <= SHORT_TURN else _long_turn)(role, text)
+
+
 def marked_turns(turns: list[Turn]) -> str:
     """The default template: a start mark and the role, the text, an end mark; control strings inside are escaped."""
     return "".join([_turn(r, t) for r, t in turns])
