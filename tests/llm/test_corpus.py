@@ -43,6 +43,85 @@ def test_dedup_of_tables_that_are_no_files_and_empty(spark, docs_of):
     assert exact_dedup.report(docs_of([])).count() == 0
 
 
+def derived(docs):
+    """Frames whose rows are not those of one file: (name, frame)."""
+    twice = docs.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    yield "exploded", twice
+    yield "joined", docs.join(docs.sparkSession.range(2).withColumnRenamed("id", "k"))
+    yield "united", docs.unionByName(docs)
+    yield "read twice", docs.sparkSession.read.parquet(docs.inputFiles()[0], docs.inputFiles()[0])
+    yield "limited", docs.orderBy("doc_id").limit(5)
+    yield "filtered", docs.where("doc_id > 2").withColumn("more", F.lit(1))
+
+
+def test_copies_in_derived_frames_are_dropped(docs_of):
+    docs = docs_of([(i, "one two three four five six " + "abc"[i % 3] * 3) for i in range(12)] + [(40, "one two three four five six ccc seven")], 1)
+    for name, df in derived(docs):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        assert sorted(r.text for r in exact_dedup.deduplicate(df).collect()) == sorted({t for _, t in rows}), name
+        kept = ngram_join.one_of_each(df)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_components(rows)}), name
+        assert kept.columns == df.columns
+
+
+def test_state_meets_later_batches_and_calls(docs_of, spark, tmp_path):
+    store = f"{tmp_path}/store"
+    first = docs_of([(i, f"t{i % 7}") for i in range(40)], 6)
+    second = docs_of([(i, f"t{i % 9}") for i in range(100, 120)], 3)
+
+    def expected(rows):
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(t, []).append(i)
+        return sorted((i, max(groups[t]), len(groups[t]), i == max(groups[t])) for i, t in rows)
+
+    as_rows = lambda df: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in df.collect())
+    old = [(r.doc_id, r.text) for r in first.collect()]
+    both = old + [(r.doc_id, r.text) for r in second.collect()]
+    assert as_rows(exact_dedup.classify(first, store=store, batch_bytes=1)) == expected(old)
+    assert len(list((tmp_path / "store" / "states").glob("batch=*"))) >= 3  # several batches
+    assert as_rows(exact_dedup.classify(second, store=store, batch_bytes=1)) == expected(both)
+    assert as_rows(exact_dedup.classify(second, store=store)) == expected(both)  # files that it has met count once
+    with pytest.raises(ValueError, match="write the documents"):
+        exact_dedup.classify(first.withColumn("text", F.lower("text")), store=store)
+
+
+def test_a_call_that_was_broken_off_is_taken_up(docs_of, tmp_path, monkeypatch):
+    docs, store = docs_of([(i, f"t{i % 4}") for i in range(12)]), f"{tmp_path}/store"
+    stream = exact_dedup._stream
+
+    def broken(*_):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(exact_dedup, "_stream", broken)
+    with pytest.raises(RuntimeError):
+        exact_dedup.classify(docs, store=store)
+    monkeypatch.setattr(exact_dedup, "_stream", stream)
+    assert {(r.keep_id, r.group_size) for r in exact_dedup.classify(docs, store=store).collect()} == {(8, 3), (9, 3), (10, 3), (11, 3)}
+
+
+def test_bytes_are_checked_against_earlier_calls(docs_of, tmp_path):
+    weak = lambda t: F.substring(t, 1, 1).cast("binary")
+    store = f"{tmp_path}/store"
+    exact_dedup.classify(docs_of([(1, "ax"), (2, "b")]), weak, store=store)
+    got = exact_dedup.classify(docs_of([(3, "ay"), (4, "ax"), (5, "b")]), weak, store=store).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(1, 4, 2), (4, 4, 2), (3, 3, 1), (2, 5, 2), (5, 5, 2)}
+
+
+def test_stream_leaves_the_session_as_it_was(docs_of, spark):
+    before = {k: spark.conf.get(k, None) for k in exact_dedup.STATE_STORE}
+    exact_dedup.report(docs_of([(1, "a"), (2, "a")])).count()
+    assert {k: spark.conf.get(k, None) for k in exact_dedup.STATE_STORE} == before
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    from spanforge.llm.common import bounded_side
+
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "hint" in df._jdf.queryExecution().logical().toString().lower()
+    small = spark.range(10).withColumn("path", F.repeat(F.lit("x"), 100))
+    assert hinted(bounded_side(small)) and not hinted(bounded_side(small, 9)) and not hinted(bounded_side(small, 10, 1000))
+
+
 def test_dedup_plan_has_no_python(docs_of):
     plan = exact_dedup.report(docs_of([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -85,6 +164,38 @@ def test_boilerplate_needs_distinct_sites(docs_of):
     assert line_spread.clean(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("literals", [line_spread.LITERALS, 0])
+def test_lines_equal_brute_force(docs_of, literals):
+    rnd = random.Random(8)
+    lines = [f"line {k}" for k in range(30)] + ["", "x" * 50_000, "é ▁", "\r"]
+    spreads = [rnd.randint(1, 40) for _ in lines]
+    rows = [(rnd.randint(0, 150), "\n".join(x for x, n in rnd.choices(list(zip(lines, spreads)), k=rnd.randint(0, 12)) if s < n), f"s{s}") for s in range(40) for _ in range(5)]
+    rows += rows[:9] + [(3, None, "s1"), (None, "line 1\nline 2", None)]
+    sites = {}
+    for _, t, s in rows:
+        for x in (t or "").split("\n"):
+            sites.setdefault(x, set()).add(s)
+    expected = []
+    for i, t, _ in rows:
+        kept = [x for x in (t or "").split("\n") if x == "" or len(sites[x]) < 10]
+        n = len((t or "").split("\n"))
+        expected.append((i, n, n - len(kept), "\n".join(kept)))
+    docs = docs_of(rows).withColumn("n_lines", F.lit("x")).withColumn("n_removed", F.lit("x")).withColumn("key2", F.lit("x")).withColumn("at", F.lit("x"))
+    out = line_spread.clean(docs, 10, literals)
+    assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in out.collect()), key=str) == sorted(expected, key=str)
+    assert any(0 < len(s) - 10 < 3 for s in sites.values()) and any(len(s) > 14 for s in sites.values())
+
+
+@pytest.mark.parametrize("literals", [line_spread.LITERALS, 0])
+def test_texts_of_many_lines(docs_of, literals):
+    import time
+
+    rows = [(k, "\n".join(f"x{i % 50}" if i % 2 else f"own {k} {i}" for i in range(200_000)), f"s{k}") for k in range(11)]
+    docs, start = docs_of(rows), time.monotonic()
+    got = line_spread.clean(docs, 10, literals).agg(F.sum("n_lines"), F.sum("n_removed")).first()
+    assert tuple(got) == (2_200_000, 1_100_000) and time.monotonic() - start < 60
+
+
 # n-gram join
 
 

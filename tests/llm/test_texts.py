@@ -60,16 +60,40 @@ def test_bpe_query(spark, docs_of, library):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab é▁ \n\t\r<s>\x00中  ")), max_size=40))
 def test_piece_counts_equal_the_library(text):
-    counter = token_count.PieceCounter(P.path("piece_bpe_32k.model"), size=5)
+    counter = token_count._counter(P.path("piece_bpe_32k.model"))
     assert counter.count([text]) == [len(counter.model.encode(text))]
 
 
-def test_count_query(docs_of):
+@pytest.mark.parametrize("head", [token_count.HEAD, 3, 0])
+def test_count_query(docs_of, monkeypatch, head):
+    """Whether all pre-tokens go to the tasks, some, or none."""
     from sentencepiece import SentencePieceProcessor
 
+    monkeypatch.setattr(token_count, "GATHERED", 4)
     model = SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
-    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_count.count_tokens(docs_of(list(enumerate(TEXTS))), P.path("piece_bpe_32k.model"), limit=3000).collect()}
-    assert got == {i: (len((t or "").encode()), n := len(model.encode(t or "")), n > 3000) for i, t in enumerate(TEXTS)}
+    rows = [*enumerate(TEXTS), (3, "  x"), (3, "  x"), (None, "no id"), (50, "y" * 100_000 + " end")]
+    got = [(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_count.count_tokens(docs_of(rows), P.path("piece_bpe_32k.model"), limit=3000, head=head).collect()]
+    expected = [(i, len((t or "").encode()), n := len(model.encode(t or "")), n > 3000) for i, t in rows]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert token_count.count_tokens(docs_of([]), P.path("piece_bpe_32k.model"), head=head).count() == 0
+
+
+def test_pretokens_are_counted_once(docs_of):
+    words = token_count.vocabulary(docs_of([(i, f"all {i % 3} all") for i in range(9)] + [(9, None), (10, "")])).collect()
+    assert {(r.token, r.n) for r in words} == {("all", 9), ("0", 3), ("1", 3), ("2", 3)} and len(words) == 4
+
+
+def test_files_of_another_kind_are_errors(tmp_path):
+    import json
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]}, {"model": spec["model"] | {"end_of_word_suffix": "</w>"}}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="plain byte-level"):
+            bpe.BytePairCoder(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError, match="plain byte-level"):
+        bpe.BytePairCoder(P.path("word_bpe_49k.json"))
 
 
 def test_chat_query(spark, duck, sf_dir):
@@ -91,6 +115,17 @@ def test_chat_finds_templates_that_rewrite_history():
     assert done.rewritten and done.spans == [] and done.loss == []
 
 
+def test_long_turns_are_not_remembered():
+    chat._short_turn.cache_clear()
+    turns = [("user", "x" * 100_000), ("assistant", "y" * 5000), ("user", "z")]
+    assert chat.read_back(chat.render(turns).text) == turns and chat._short_turn.cache_info().currsize == 3  # the short turn and two probes
+
+
+def test_chat_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a", "x", "y"), (1, 1, "assistant", "b", "x", "y")], "conv_id long, turn long, role string, text string, formatted string, n_turns string")
+    assert [(r.n_turns, r.loss_chars) for r in chat.format_conversations(df).collect()] == [(2, 1)]
+
+
 def test_chat_ties_nulls_and_texts(spark):
     rows = [(1, 0, "user", None), (1, 0, "assistant", "b"), (1, 0, "assistant", "a"), (None, 5, None, "x"), (1, None, "system", "s")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -116,6 +151,25 @@ def test_urls_equal_all_rules_in_turn(spark):
     assert url_rules.judge(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_rules_from_a_table_give_the_same(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(url_rules, "LISTED_RULES", 3)
+    rules = [*url_rules.RULES, url_rules.Rule("net", "/es/", "allow"), url_rules.Rule("a.b", "/", "block"), url_rules.Rule("a.b", "/q+(x/", "allow"), url_rules.Rule("b", "/a\\Eb/", "block"), url_rules.Rule("b", "", "block")]
+    urls = [None, "", "x", "http://", "http://a.b", "http://A.B/", "http://a.b/q+(x/y", "http://c.a.b/qx/", "http://b/a\\Eb/?", "http://b/a", "HTTP://WWW.Example.COM/en/x", "ftp://a.net/es/?q=://b.com/", "http://x.net/fr/é#a", "http://com/", "http://xa.b/"]
+    df = spark.createDataFrame([(i, u, "own", "z") for i, u in enumerate(urls)] + [(1, None, "own", "z"), (5, urls[5], "own", "z")], "page_id long, url string, host string, rule string")
+    got = sorted(map(tuple, url_rules.judge(df, tuple(rules)).collect()), key=str)
+    table = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
+    expected = []
+    for page, url in [*enumerate(urls), (1, None), (5, urls[5])]:
+        host, path = url_rules.split_url(url)
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = min(fits, key=lambda r: (-len(r.name), r.name, r.verdict), default=None)
+        expected.append((page, host, path, best and best.name, best.verdict if best else "allow"))
+    assert got == sorted(expected, key=str) == sorted(map(tuple, url_rules.judge_by_table(df, table).collect()), key=str)
+    assert url_rules.judge_by_table(df.where("false"), table).count() == 0 and url_rules.judge(df, ()).where("rule is not null").count() == 0
+
+
 def test_rules_are_filed_under_their_rarest_token():
     rule = url_rules.Rule("example.com", "/en/", "block")
     assert list(url_rules.rule_index((rule,), {"h:com": 9, "h:example": 4, "p:en": 2})) == ["p:en"]
