@@ -43,9 +43,9 @@ def _(spark, sf_dir):
     return M.usage(mem(spark, sf_dir))
 
 
-@query("q83_memory_events", "SELECT alloc_id, ptr, size FROM me WHERE pool = 'pool1' ORDER BY alloc_id LIMIT 1000", "me")
+@query("q83_memory_events", "SELECT alloc_id, pool, ptr, size FROM me ORDER BY alloc_id", "me")
 def _(spark, sf_dir):
-    return M.listing(mem(spark, sf_dir), "pool1", 1000).select("alloc_id", "ptr", "size")
+    return M.listing(mem(spark, sf_dir)).select("alloc_id", "pool", "ptr", "size")
 
 
 @query("q84_active_allocations", f"SELECT alloc_id, size FROM me WHERE time_alloc >= {SINCE} AND time_alloc < {UNTIL} AND (time_free IS NULL OR time_free >= {UNTIL})", "me")
@@ -167,7 +167,7 @@ def _(spark, sf_dir):
     return C.intervals(switches, wakeups)[1].select("seq", "wakeup", "wakeup_cpu")
 
 
-@query("q95_thread_switches", 'SELECT start, stop AS "end", cpu, reason, state FROM cs WHERE thread = 3 AND stop IS NOT NULL ORDER BY start, seq LIMIT 1000', "cs")
+@query("q95_thread_switches", 'SELECT start, stop AS "end", cpu, reason, state FROM cs WHERE thread = 3 AND stop IS NOT NULL ORDER BY start, seq', "cs")
 def _(spark, sf_dir):
     return C.thread_switches(A.context_switches(spark, sf_dir), 3).select("start", "end", "cpu", "reason", "state")
 

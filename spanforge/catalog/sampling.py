@@ -21,9 +21,11 @@ def _(spark, sf_dir):
     return S.intern(A.stacks(spark, sf_dir)).select(F.array_join(F.transform("frames", lambda x: x.cast("string")), "/").alias("frames"))
 
 
-@query("q105_plain_samples", "SELECT seq FROM st WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.thread = st.thread AND cs.start = st.time AND cs.cpu < 3)", "st", "cs")
+@query("q105_plain_samples", "SELECT seq FROM st WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.thread = st.thread AND cs.start = st.time + st.frames[1] % 3)", "st", "cs")
 def _(spark, sf_dir):
-    return S.without_switch_samples(A.stacks(spark, sf_dir), A.context_switches(spark, sf_dir).where("cpu < 3")).select("seq")
+    # every event is both a switch and a sample; two of three samples come a little later
+    samples = A.stacks(spark, sf_dir).withColumn("time", F.col("time") + F.col("frames")[0] % 3)
+    return S.without_switch_samples(samples, A.context_switches(spark, sf_dir)).select("seq")
 
 
 CTES["sy"] = (("st",), "sy AS (SELECT symbol, count(*) AS incl, count(*) FILTER (first) AS excl FROM (SELECT seq, symbol, bool_or(n = 1) AS first FROM (SELECT seq, unnest(frames) AS symbol, unnest(range(1, 4)) AS n FROM st) GROUP BY seq, symbol) GROUP BY symbol)")
@@ -220,10 +222,9 @@ def _(spark, sf_dir):
     return G.child_statistics(gpu(spark, sf_dir), "view")
 
 
-@query("q128_gpu_occurrences", 'SELECT gpu_start AS start, gpu_end AS "end", gpu_end - gpu_start AS dur FROM gz WHERE name = \'click\' AND gpu_end IS NOT NULL ORDER BY gpu_start, gpu_zone_id LIMIT 100000', "gz")
+@query("q128_gpu_occurrences", 'SELECT gpu_start AS start, gpu_end AS "end", gpu_end - gpu_start AS dur FROM gz WHERE name = \'click\' AND gpu_end IS NOT NULL ORDER BY gpu_start, gpu_zone_id', "gz")
 def _(spark, sf_dir):
-    rows = gpu(spark, sf_dir).where("name = 'click' and gpu_end is not null").orderBy("gpu_start", "gpu_zone_id").limit(100_000)
-    return rows.select(F.col("gpu_start").alias("start"), F.col("gpu_end").alias("end"), (F.col("gpu_end") - F.col("gpu_start")).alias("dur"))
+    return G.listing(gpu(spark, sf_dir), "click")
 
 
 @query("q128_gpu_contexts", "SELECT ctx, count(*) AS zones, count(DISTINCT thread) AS threads, min(gpu_start) AS first FROM gz GROUP BY ctx", "gz")
@@ -291,6 +292,55 @@ def _(spark, sf_dir):
     return A.source_locations(spark).select("srcloc", P.format_location(F.col("file"), F.col("line")).alias("location"))
 
 
+_NS = "(event_id % 1000 * 1237 + 5) * CAST(10 ** (event_id % 10) AS BIGINT) * CASE WHEN event_id % 7 = 0 THEN -1 ELSE 1 END"
+
+
+def _thousandths(v):
+    """SQL: up to two decimals of a number of thousandths."""
+    return f"CASE WHEN {v} % 1000 >= 995 THEN CAST({v} // 1000 + 1 AS VARCHAR) WHEN {v} % 1000 <= 5 THEN CAST({v} // 1000 AS VARCHAR) ELSE rtrim(printf('%d.%02d', {v} // 1000, ({v} % 1000 + 5) // 10), '0') END"
+
+
+_CLOCK = "printf('%02d:%02d', a // 60000000000 % 60, a // 1000000000 % 60)"
+
+
+@query(
+    "q134_time",
+    f"""WITH t AS (SELECT event_id AS seq, {_NS} AS ns, abs({_NS}) AS a FROM ev), m AS (SELECT *, a // 1000000 % 60000 AS ms FROM t)
+SELECT seq, CASE WHEN ns < 0 THEN '-' ELSE '' END || CASE WHEN a < 1000 THEN a || ' ns' WHEN a < 1000000 THEN {_thousandths('a')} || ' μs' WHEN a < 1000000000 THEN {_thousandths('(a // 1000)')} || ' ms'
+  WHEN a < 60000000000 THEN {_thousandths('(a // 1000000)')} || ' s'
+  WHEN a < 3600000000000 THEN a // 60000000000 || ':' || CASE WHEN ms % 1000 >= 950 THEN printf('%02d', ms // 1000 + 1) WHEN ms % 1000 > 50 THEN printf('%02d.%d', ms // 1000, (ms % 1000 + 50) // 100) ELSE printf('%02d', ms // 1000) END
+  WHEN a < 86400000000000 THEN a // 3600000000000 || ':' || {_CLOCK} ELSE a // 86400000000000 || 'd' || printf('%02d', a // 3600000000000 % 24) || ':' || {_CLOCK} END AS shown FROM m""",
+    "ev",
+)
+def _(spark, sf_dir):
+    return _numbers(spark, sf_dir).select("seq", P.format_time(F.col("ns")).alias("shown"))
+
+
+def _numbers(spark, sf_dir):
+    i = F.col("event_id")
+    ns = (i % 1000 * 1237 + 5) * F.pow(F.lit(10.0), i % 10).cast("long") * F.when(i % 7 == 0, -1).otherwise(1)
+    return A.events(spark, sf_dir).select(i.alias("seq"), ns.alias("ns"))
+
+
+def _unit(power):
+    return f"regexp_replace(printf('%.2f', CAST(n AS DOUBLE) / {1 << 10 * power}), '[.]?0+$', '') || ' {' KMGT'[power]}B'"
+
+
+_SIZE = f"CASE WHEN abs(n) < 10000 THEN n || ' bytes' WHEN abs(n) < {10_000 << 10} THEN {_unit(1)} WHEN abs(n) < {10_000 << 20} THEN {_unit(2)} WHEN abs(n) < {10_000 << 30} THEN {_unit(3)} ELSE {_unit(4)} END"
+
+
+@query("q134_bytes", f"WITH t AS (SELECT event_id AS seq, {_NS} AS n FROM ev) SELECT seq, {_SIZE} AS shown, format('{{:,}}', n) AS counted FROM t", "ev")
+def _(spark, sf_dir):
+    return _numbers(spark, sf_dir).select("seq", P.format_bytes(F.col("ns")).alias("shown"), P.format_count(F.col("ns")).alias("counted"))
+
+
+@query("q142_crash", "SELECT user_id AS thread, t AS time, props AS message, CASE WHEN k % 2 = 0 THEN CAST(k % 10 AS INTEGER) ELSE 0 END AS callstack FROM ev WHERE event_type = 'error' ORDER BY t DESC, event_id DESC LIMIT 1", "ev")
+def _(spark, sf_dir):
+    e = A.events(spark, sf_dir).where("event_type = 'error'")
+    reports = e.select("capture_id", F.col("event_id").alias("seq"), "time", F.col("user_id").alias("thread"), F.col("props").alias("message"), F.when(F.col("k") % 2 == 0, (F.col("k") % 10).cast("int")).alias("callstack"))
+    return T.crash(reports).drop("capture_id")
+
+
 @query("q135_short_names", "SELECT p_partkey, 'f' || p_size AS short FROM part")
 def _(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")

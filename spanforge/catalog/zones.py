@@ -140,7 +140,7 @@ def _(spark, sf_dir):
     return Z.root_statistics(zones(spark, sf_dir))
 
 
-@query("q29_child_zone_stats", f"SELECT name, {POOLED} FROM z WHERE dur IS NOT NULL AND parent_id IN (SELECT zone_id FROM z WHERE name = 'view' AND dur IS NOT NULL ORDER BY start, zone_id LIMIT 100000) GROUP BY name", "z")
+@query("q29_child_zone_stats", f"SELECT name, {POOLED} FROM z WHERE dur IS NOT NULL AND parent_id IN (SELECT zone_id FROM z WHERE name = 'view' AND dur IS NOT NULL) GROUP BY name", "z")
 def _(spark, sf_dir):
     return Z.child_statistics(zones(spark, sf_dir), "view")
 
@@ -163,11 +163,10 @@ for _kind, _cols, _sql in (
     ("annotations", ["start", "text"], "start, text"),
     ("callstacks", ["start", "callstack"], "start, callstack"),
 ):
-    _cap = Z.CAPS.get(_kind, Z.CAPS["occurrences"])
 
-    @query(f"q31_zone_{_kind}", f"SELECT {_sql} FROM z WHERE name = 'click' AND dur IS NOT NULL ORDER BY start, zone_id LIMIT {_cap}", "z")
-    def _(spark, sf_dir, cols=_cols, cap=_cap):
-        return Z.listing(zones(spark, sf_dir), "click", cols, cap)
+    @query(f"q31_zone_{_kind}", f"SELECT {_sql} FROM z WHERE name = 'click' AND dur IS NOT NULL ORDER BY start, zone_id", "z")
+    def _(spark, sf_dir, cols=_cols):
+        return Z.listing(zones(spark, sf_dir), "click", cols)
 
 
 @query("q32_source_locations", "SELECT coalesce(name, function) AS name, srcloc, function, file, line FROM loc", "loc")
@@ -242,11 +241,35 @@ def _(spark, sf_dir):
     return A.messages(spark, sf_dir).where(P.message_filter("1", ["User"], ["Warning", "Error"], list(range(1, 9)))).select("seq")
 
 
-@query("q21g_external_frames", "SELECT DISTINCT f AS sym_addr, f // 1000 = 2 AS external FROM (SELECT unnest(frames) AS f FROM st)", "st")
+#: Images and paths that meet every rule, and some that nearly do.
+_IMAGES = ("img0", "/usr/bin/x", "/lib/a.so", "/lib64/b.so", "<kernel>", "/opt/app/libmine.so", "/usrlocal/x", "<kernel", None)
+_PATHS = ("src/a.cpp", "/usr/include/x.h", "/lib/y.h", "[unknown]", "<kernel>", "C:\\Program Files (x86)\\k.h", "c:\\program files\\k.h", "d:\\a01\\_work\\1.cpp", "/home/u/.cargo/z.rs", "/a/../b.cpp", "/a/.", "", "/build/a.cpp", "\\include\\q.h", "/lib64/h.h", "x<kernel>", None)
+
+
+def _sql_list(values):
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+@query(
+    "q21g_external_frames",
+    f"""WITH f AS (SELECT event_id AS seq, {_sql_list(_IMAGES)}[event_id % {len(_IMAGES)} + 1] AS image, {_sql_list(_PATHS)}[event_id // 7 % {len(_PATHS)} + 1] AS file FROM ev)
+SELECT seq, coalesce(image, '') LIKE '/usr/%' OR coalesce(image, '') LIKE '/lib/%' OR coalesce(image, '') LIKE '/lib64/%' OR coalesce(image = '<kernel>', false)
+  OR coalesce(left(file, 5) IN ('/usr/', '/lib/') OR file IN ('[unknown]', '<kernel>') OR left(file, 16) = 'C:\\Program Files' OR left(file, 13) = 'd:\\a01\\_work\\'
+    OR len(list_filter(range(1, len(file)), lambda i: substr(file, i, 2) = '/.' AND substr(file, i + 2, 1) <> '.')) > 0, false) AS external FROM f""",
+    "ev",
+)
+def _(spark, sf_dir):
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (at % len(values) + 1).cast("int"))
+    e = A.events(spark, sf_dir)
+    image, file = pick(_IMAGES, F.col("event_id")), pick(_PATHS, F.call_function("div", F.col("event_id"), F.lit(7)))
+    return e.select(F.col("event_id").alias("seq"), P.is_external(image, file).alias("external"))
+
+
+@query("q21e_zone_names", "SELECT CASE WHEN callstack = 3 THEN 'named ' || thread % 5 ELSE name END AS zone_name, name, count(*) AS count, CAST(sum(dur) AS BIGINT) AS total FROM z WHERE dur > 0 GROUP BY 1, 2", "z")
 def _(spark, sf_dir):
-    s = A.symbols(spark, sf_dir)
-    image = F.when(F.col("image") == "img2", "/usr/lib/libc.so.6").otherwise(F.col("image"))
-    return s.select("sym_addr", P.is_external(image, F.col("file")).alias("external"))
+    given = F.when(F.col("callstack") == 3, F.concat(F.lit("named "), F.col("thread") % 5))
+    z = Z.named(with_self_time(A.zones(spark, sf_dir).withColumn("name_override", given)), A.source_locations(spark))
+    return Z.statistics(z, "zone_name", "name").select("zone_name", "name", "count", "total")
 
 
 @query("q21f_kernel_frames", "SELECT DISTINCT f AS sym_addr, f - 1000 < 0 AS kernel FROM (SELECT unnest(frames) AS f FROM st)", "st")

@@ -66,14 +66,19 @@ def is_kernel(address: Column) -> Column:
     return address < 0
 
 
+#: What images and source paths of code that isn't the program's own begin with, or are.
+EXTERNAL_IMAGES = ("/usr/", "/lib/", "/lib64/")
+EXTERNAL_PATHS = ("/usr/", "/lib/", "C:\\Program Files", "d:\\a01\\_work\\")
+EXTERNAL_NAMES = ("[unknown]", "<kernel>")
+
+
 def is_external(image: Column, file: Column) -> Column:
-    """Frames of system libraries and of code that isn't the program's own."""
-    path = F.coalesce(file, F.lit(""))
-    return (
-        path.startswith("/usr/") | path.startswith("/lib/") | path.startswith("/build/") | path.contains("[unknown]") | (path == "")
-        | path.contains("\\include\\") | F.lower(path).rlike(r"program files|vctools|windows kits")
-        | F.coalesce(image, F.lit("")).rlike(r"^(/usr)?/lib|\.so(\.|$)|^\[")
-    )
+    """Frames of system libraries, of the kernel, of unknown places and below hidden directories; a null path or image is
+    the program's own. Letters count as they are."""
+    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
+    image, path = F.coalesce(image, F.lit("")), F.coalesce(file, F.lit(""))
+    hidden = path.rlike(r"(?s)/\.([^.]|\z)")
+    return any_of([image.startswith(x) for x in EXTERNAL_IMAGES]) | (image == "<kernel>") | any_of([path.startswith(x) for x in EXTERNAL_PATHS]) | path.isin(*EXTERNAL_NAMES) | hidden
 
 
 def substituted(path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -87,21 +92,64 @@ def thread_name(own: Column, external: Column, thread: Column) -> Column:
     return F.coalesce(named, external, F.lit("???"))
 
 
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b).cast("long"))
+
+
+def _two(x: Column) -> Column:
+    return F.lpad(x.cast("string"), 2, "0")
+
+
+def _thousandths(v: Column, unit: str) -> Column:
+    """A number of thousandths with up to two decimals: rounded half up, up to half of one left out, no zeros at the end."""
+    whole, rest = _div(v, 1000), v % 1000
+    hundredths = _div(rest + 5, 10)
+    decimals = F.when(rest <= 5, "").when(hundredths % 10 == 0, F.concat(F.lit("."), _div(hundredths, 10).cast("string"))).otherwise(F.concat(F.lit("."), _two(hundredths)))
+    number = F.when(rest >= 995, (whole + 1).cast("string")).otherwise(F.concat(whole.cast("string"), decimals))
+    return F.concat(number, F.lit(f" {unit}"))
+
+
 def format_time(ns: Column) -> Column:
-    """Nanoseconds for people, with the unit that gives a whole part."""
-    a, v = F.abs(ns), ns.cast("double")
-    return (
-        F.when(a < 1_000, F.format_string("%d ns", ns))
-        .when(a < 1_000_000, F.format_string("%.2f us", v / 1e3))
-        .when(a < 1_000_000_000, F.format_string("%.2f ms", v / 1e6))
-        .when(a < 60_000_000_000, F.format_string("%.2f s", v / 1e9))
-        .otherwise(F.format_string("%d:%02d", F.call_function("div", ns, F.lit(60_000_000_000)), F.call_function("div", F.abs(ns) % 60_000_000_000, F.lit(1_000_000_000))))
+    """Nanoseconds for people: up to a minute in the unit that gives a whole part, then m:ss.f, h:mm:ss and d'd'hh:mm:ss."""
+    a, second, minute, hour = F.abs(ns), 1_000_000_000, 60_000_000_000, 3_600_000_000_000
+    ms = _div(a % minute, 1_000_000)
+    whole, rest = _div(ms, 1000), ms % 1000
+    tenths = F.when(rest > 50, F.concat(F.lit("."), _div(rest + 50, 100).cast("string"))).otherwise("")
+    seconds = F.when(rest >= 950, _two(whole + 1)).otherwise(F.concat(_two(whole), tenths))
+    clock = F.concat(F.lit(":"), _two(_div(a % hour, minute)), F.lit(":"), _two(_div(a % minute, second)))
+    shown = (
+        F.when(a < 1_000, F.concat(a.cast("string"), F.lit(" ns")))
+        .when(a < 1_000_000, _thousandths(a, "μs"))
+        .when(a < second, _thousandths(_div(a, 1_000), "ms"))
+        .when(a < minute, _thousandths(_div(a, 1_000_000), "s"))
+        .when(a < hour, F.concat(_div(a, minute).cast("string"), F.lit(":"), seconds))
+        .when(a < 24 * hour, F.concat(_div(a, hour).cast("string"), clock))
+        .otherwise(F.concat(_div(a, 24 * hour).cast("string"), F.lit("d"), _two(_div(a % (24 * hour), hour)), clock))
     )
+    return F.concat(F.when(ns < 0, "-").otherwise(""), shown)
 
 
 def format_bytes(n: Column) -> Column:
-    v = n.cast("double")
-    return F.when(F.abs(n) < 10_000, F.format_string("%d bytes", n)).when(F.abs(n) < 10_000 << 10, F.format_string("%.2f KB", v / 1024)).when(F.abs(n) < 10_000 << 20, F.format_string("%.2f MB", v / (1 << 20))).otherwise(F.format_string("%.2f GB", v / (1 << 30)))
+    """Bytes in the unit that gives less than 10,000, with up to two decimals (of two as near the even one)."""
+    a = F.abs(n)
+
+    def scaled(power: int) -> Column:
+        unit = 1 << 10 * power
+        whole, rest = _div(a, unit), a % unit
+        q, r = _div(rest * 100, unit), (rest * 100) % unit
+        q = q + F.when((2 * r > unit) | ((2 * r == unit) & (q % 2 == 1)), 1).otherwise(0)
+        number = F.concat((whole + _div(q, 100)).cast("string"), F.lit("."), _two(q % 100))
+        return F.concat(F.regexp_replace(number, r"\.?0+$", ""), F.lit(f" {' KMGT'[power]}B"))
+
+    shown = F.when(a < 10_000, F.concat(a.cast("string"), F.lit(" bytes")))
+    for power in (1, 2, 3):
+        shown = shown.when(a < 10_000 << 10 * power, scaled(power))
+    return F.concat(F.when(n < 0, "-").otherwise(""), shown.otherwise(scaled(4)))
+
+
+def format_count(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)
 
 
 def format_location(file: Column, line: Column) -> Column:
@@ -111,12 +159,25 @@ def format_location(file: Column, line: Column) -> Column:
 def short_name(name: Column) -> Column:
     """A C++ function name without template arguments, parameters, trailing const, return type and namespaces.
 
-    Brackets nest; each replacement takes the innermost pair, so as many as the deepest nesting in use are folded.
+    Brackets nest to any depth: one pass over the characters keeps what lies outside of all of them.
     """
     out = F.regexp_replace(name, r"operator\s*(<=>|<<|>>|<=|>=|<|>|->|\(\))", "operator_")
-    for _ in range(8):
-        out = F.regexp_replace(out, r"<[^<>]*>", "")
-    for _ in range(4):
-        out = F.regexp_replace(out, r"\([^()]*\)", "")
+    for opened, closed in (("<", ">"), ("(", ")")):
+        # pieces that begin with a bracket; the number of brackets open after each is a running sum
+        pieces = F.regexp_extract_all(out, F.lit(rf"[{opened}{closed}]?[^{opened}{closed}]*"), F.lit(0))
+        state = F.aggregate(
+            pieces,
+            F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept")),
+            lambda s, x: F.struct(
+                _depth(s["depth"], x, opened, closed).alias("depth"),
+                F.when(_depth(s["depth"], x, opened, closed) == 0, F.concat(s["kept"], F.when((s["depth"] > 0) | x.startswith(opened), F.substr(x, F.lit(2))).otherwise(x))).otherwise(s["kept"]).alias("kept"),
+            ),
+        )
+        out = state["kept"]
     out = F.regexp_replace(F.trim(out), r"\s+(const|noexcept|volatile|&&?)$", "")
     return F.regexp_replace(F.regexp_replace(F.trim(out), r"^.*[\s*&]", ""), r"^.*::(?=[^:])", "")
+
+
+def _depth(before: Column, piece: Column, opened: str, closed: str) -> Column:
+    """Brackets open after a piece; a closing one without an opening one counts as text."""
+    return F.when(piece.startswith(opened), before + 1).when(piece.startswith(closed) & (before > 0), before - 1).otherwise(before)

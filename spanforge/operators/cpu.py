@@ -28,9 +28,10 @@ def intervals(switches: DataFrame, wakeups: DataFrame | None = None) -> tuple[Da
     return runs.select("capture_id", "cpu", "seq", "start", "end", "thread"), by_thread
 
 
-def thread_switches(switches: DataFrame, thread: int, max_count: int = 50_000) -> DataFrame:
-    """Ended runs of one thread in order of start, up to ``max_count``."""
-    return switches.where((F.col("thread") == thread) & F.col("end").isNotNull()).orderBy("start", "seq").limit(max_count)
+def thread_switches(switches: DataFrame, thread: int, max_count: int | None = None) -> DataFrame:
+    """Ended runs of one thread in order of start, all or up to ``max_count``."""
+    rows = switches.where((F.col("thread") == thread) & F.col("end").isNotNull()).orderBy("start", "seq")
+    return rows if max_count is None else rows.limit(max_count)
 
 
 def thread_data(switches: DataFrame) -> DataFrame:

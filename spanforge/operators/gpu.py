@@ -36,6 +36,13 @@ def pair_queries(stamps: DataFrame) -> DataFrame:
     return rows.select("capture_id", "ctx", "query_id", "seq", F.call_function("div", F.col("n") + 1, F.lit(2)).alias("use"), F.col("time").alias("gpu_start"), "gpu_end")
 
 
+def listing(zones: DataFrame, name: str, max_samples: int | None = None) -> DataFrame:
+    """Ended GPU zones called ``name`` in order of start, all or up to ``max_samples``."""
+    rows = zones.where((F.col("name") == name) & F.col("gpu_end").isNotNull()).orderBy("gpu_start", "gpu_zone_id")
+    rows = rows if max_samples is None else rows.limit(max_samples)
+    return rows.select(F.col("gpu_start").alias("start"), F.col("gpu_end").alias("end"), (F.col("gpu_end") - F.col("gpu_start")).alias("dur"))
+
+
 def drift_corrected(zones: DataFrame, drift: int) -> DataFrame:
     """``drift`` ns a second from the context's first time on, in whole numbers."""
     begin = F.min("gpu_start").over(Window.partitionBy("capture_id", "ctx"))

@@ -50,9 +50,10 @@ def usage(events: DataFrame) -> DataFrame:
     return running_sum(both, ["capture_id", "pool"], ["time", "side", "seq"], F.col("d"), "usage").select("pool", "time", "side", "seq", "usage")
 
 
-def listing(events: DataFrame, pool: str | None = None, max_count: int = 100_000) -> DataFrame:
-    """Allocations in order, up to ``max_count``: of one pool, or of all."""
-    return (events if pool is None else events.where(F.col("pool") == pool)).orderBy("alloc_id").limit(max_count)
+def listing(events: DataFrame, pool: str | None = None, max_count: int | None = None) -> DataFrame:
+    """Allocations in order, all or up to ``max_count``: of one pool, or of all."""
+    rows = (events if pool is None else events.where(F.col("pool") == pool)).orderBy("alloc_id")
+    return rows if max_count is None else rows.limit(max_count)
 
 
 def active_in(events: DataFrame, since: int, until: int) -> DataFrame:

@@ -20,9 +20,16 @@ def threads(zones: DataFrame, dims: DataFrame) -> DataFrame:
     return used.join(dims, "thread", "left").select("thread", "count", F.coalesce("is_fiber", F.lit(False)).alias("is_fiber"), F.coalesce("name", F.lit("???")).alias("name"))
 
 
+def crash(reports: DataFrame) -> DataFrame:
+    """The crash of each capture that has one (capture_id, seq, time, thread, message, callstack): a later report takes the
+    place of an earlier one; callstack 0 is none."""
+    last = reports.groupBy("capture_id").agg(F.max_by(F.struct("thread", "time", "message", F.coalesce("callstack", F.lit(0)).alias("callstack")), F.struct("time", "seq")).alias("c"))
+    return last.select("capture_id", "c.*")
+
+
 def thread_order(dims: DataFrame, first_seq: DataFrame) -> DataFrame:
     """Position by descending priority (smaller hint first), then arrival."""
-    rows = dims.join(first_seq, "thread").repartitionByRange("group_hint", "seq")
+    rows = dims.join(first_seq, "thread")
     return rows.orderBy("group_hint", "seq", "thread").select("thread", "group_hint", "seq")
 
 

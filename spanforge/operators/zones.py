@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import RangeRule, in_range
+from ..functions.predicates import RangeRule, in_range, zone_name
 from ..plans.intervals import covering, overlapping
 from ..plans.nesting import ancestors
 from ..plans.stats import deviation, interpolated, pooled, sum_sq
 
-#: Caps of the listing calls.
-CAPS = {"durations": 100_000, "occurrences": 100_000, "annotations": 10_000, "callstacks": 1_000, "parents": 100_000}
 
 
 def named(zones: DataFrame, locations: DataFrame) -> DataFrame:
-    """``zones`` with name, file and line. Source locations are a dimension; adaptive execution broadcasts a small one."""
-    name = F.coalesce("_l.name", "_l.function").alias("name")
-    return zones.alias("_z").join(locations.alias("_l"), "srcloc").select("_z.*", name, F.col("_l.file"), F.col("_l.line"))
+    """``zones`` with name, file and line of their source location, and ``zone_name``: the name that the zone was given while
+    it ran (``name_override``), if any, before that of its location. Statistics of locations go by ``name``, what shows
+    single zones by ``zone_name``. Source locations are a dimension; adaptive execution broadcasts a small one."""
+    override = F.col("_z.name_override") if "name_override" in zones.columns else F.lit(None).cast("string")
+    name, shown = F.coalesce("_l.name", "_l.function").alias("name"), zone_name(override, F.col("_l.name"), F.col("_l.function")).alias("zone_name")
+    return zones.alias("_z").join(locations.alias("_l"), "srcloc").select("_z.*", name, shown, F.col("_l.file"), F.col("_l.line"))
 
 
 def counted(zones: DataFrame) -> DataFrame:
@@ -79,9 +80,10 @@ def zones_in_frames(zones: DataFrame, frames: DataFrame) -> DataFrame:
     return covering(points, spans, ["capture_id"]).groupBy("idx", "name").agg(F.count(F.lit(1)).alias("count"), F.sum("dur").alias("total"))
 
 
-def listing(zones: DataFrame, name: str, columns: list[str], cap: int) -> DataFrame:
-    """Rows of the closed zones called ``name`` in order of start, up to ``cap``."""
-    return zones.where((F.col("name") == name) & F.col("dur").isNotNull()).orderBy("start", "zone_id").limit(cap).select(*columns)
+def listing(zones: DataFrame, name: str, columns: list[str], max_samples: int | None = None) -> DataFrame:
+    """Rows of the closed zones called ``name`` in order of start, all or up to ``max_samples``."""
+    rows = zones.where((F.col("name") == name) & F.col("dur").isNotNull()).orderBy("start", "zone_id")
+    return (rows if max_samples is None else rows.limit(max_samples)).select(*columns)
 
 
 def locations_by_name(locations: DataFrame) -> DataFrame:
@@ -131,9 +133,9 @@ def children(zones: DataFrame) -> DataFrame:
 
 
 def share_of_mean(zones: DataFrame) -> DataFrame:
-    w = Window.partitionBy("srcloc")
-    rows = counted(zones).withColumn("share", F.col("dur") / F.sum("dur").over(w) * F.count(F.lit(1)).over(w) * 100.0)
-    return rows.select("zone_id", "name", "dur", "share")
+    rows = counted(zones)
+    whole = rows.groupBy("srcloc").agg(F.sum("dur").alias("_total"), F.count(F.lit(1)).alias("_n"))
+    return rows.join(whole, "srcloc").select("zone_id", "name", "dur", (F.col("dur") / F.col("_total") * F.col("_n") * 100.0).alias("share"))
 
 
 def running(zones: DataFrame, switches: DataFrame) -> DataFrame:

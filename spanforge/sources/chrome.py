@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.nesting import nest
-
-
+from . import imported
 
 _STRUCT = "struct<ph:string,ts:double,dur:double,name:string,pid:bigint,tid:bigint,args:map<string,string>,loc:string>"
 
@@ -18,10 +16,13 @@ def _events(text: Column) -> Column:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Events of all files at ``path`` with their order in the file; ``.zst`` files are decompressed in the tasks."""
-    import pandas as pd
+    """Events of all files at ``path`` with their order in the file."""
+    return parse(spark.read.format("binaryFile").load(path))
 
-    files = spark.read.format("binaryFile").load(path)
+
+def parse(files: DataFrame) -> DataFrame:
+    """Events of files (path, content) with their order in the file; ``.zst`` files are decompressed in the tasks."""
+    import pandas as pd
 
     @F.pandas_udf("string")
     def text_of(contents, paths):
@@ -39,33 +40,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("capture_id", F.col("seq").cast("long").alias("seq"), "e.*")
 
 
-def _thread() -> Column:
-    return F.shiftleft(F.coalesce("pid", F.lit(0)).cast("long"), 32).bitwiseOR(F.coalesce("tid", F.lit(0)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+#: What the letters of an event mean; the first of a group that ends the import's event of that kind.
+KINDS = {"b": "begin", "B": "begin", "e": "end", "E": "end", "X": "complete", "i": "instant", "I": "instant", "C": "counter", "M": "thread_name"}
 
 
-def tables(events: DataFrame) -> dict[str, DataFrame]:
-    """Zones, messages, plot points, plots, thread names and frames of Chrome events, times from the least one on."""
-    e = events.withColumn("time", (F.col("ts") * 1000).cast("long")).withColumn("thread", _thread()).withColumn("seq", F.col("seq") * 2)
+def events(rows: DataFrame) -> DataFrame:
+    """Events of Chrome traces in the columns of ``imported.EVENTS``; a counter gives one for each of its values."""
     text = F.concat_ws("", F.transform(F.map_entries("args"), lambda a: F.concat(a["key"], F.lit(": "), a["value"], F.lit("\n"))))
-    e = e.withColumn("text", F.when(F.size("args") > 0, text))
-    e = e.withColumn("file", F.when(F.instr("loc", ":") > 0, F.expr("substring(loc, 1, length(loc) - instr(reverse(loc), ':'))")).otherwise(F.col("loc")))
-    e = e.withColumn("line", F.when(F.instr("loc", ":") > 0, F.expr("try_cast(substring_index(loc, ':', -1) as int)")))
-    least = e.where(F.col("ph").isin("b", "B", "e", "E", "X", "i", "I", "C")).groupBy("capture_id").agg(F.min("time").alias("base"))
-    e = e.join(least, "capture_id", "left").withColumn("time", F.col("time") - F.coalesce("base", F.lit(0))).drop("base")
-    cols = ["capture_id", "seq", "time", "thread", "name", "text", "file", "line"]
-    begins = e.where(F.col("ph").isin("b", "B", "X")).select(*cols, F.lit("begin").alias("kind"))
-    ends = e.where(F.col("ph").isin("e", "E")).select(*cols, F.lit("end").alias("kind"))
-    done = e.where("ph = 'X'").withColumn("time", F.col("time") + F.round(F.coalesce("dur", F.lit(0.0)) * 1000).cast("long")).withColumn("seq", F.col("seq") + 1).select(*cols, F.lit("end").alias("kind"))
-    # a complete event ends before what begins at the same time after it, and after what it encloses
-    rows = begins.unionByName(ends).unionByName(done)
-    located = rows.withColumn("srcloc", F.when(F.col("kind") == "begin", F.xxhash64("name", "file", "line")))
-    zones = nest(located).join(begins.select("capture_id", F.col("seq").alias("zone_id"), "name", "file", "line", "text"), ["capture_id", "zone_id"])
-    instants = e.where(F.col("ph").isin("i", "I")).withColumn("message", F.concat_ws("\n", "name", F.rtrim("text")))
-    is_frame = F.lower("name").contains("frame")
-    messages = instants.where(~is_frame).select("capture_id", "seq", "time", "thread", F.col("message").alias("text"), F.lit("Info").alias("severity"))
-    frames = instants.where(is_frame).select("capture_id", F.col("name").alias("frame_set"), F.lit(True).alias("continuous"), "time", "seq")
-    counters = e.where("ph = 'C'").select("capture_id", "seq", "time", "name", F.explode("args").alias("arg", "value"))
-    points = counters.select("capture_id", F.concat_ws("-", "name", "arg").alias("plot"), "seq", "time", F.expr("try_cast(value as double)").alias("val")).where("val is not null")
-    plots = points.select("capture_id", "plot").distinct().withColumn("format", F.when(F.col("plot").endswith("_bytes"), "Memory").otherwise("Number"))
-    names = e.where("ph = 'M' and name = 'thread_name'").select("capture_id", "thread", F.col("args")["name"].alias("name"))
-    return {"zones": zones, "messages": messages, "frames": frames, "plot_points": points, "plots": plots, "threads": names}
+    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("ph")], F.lit("other"))
+    own = rows.select(
+        "capture_id", "seq", (F.col("ts") * 1000).cast("long").alias("time"), imported.thread(F.col("pid"), F.col("tid")).alias("thread"), F.when((kind == "thread_name") & ~F.col("name").eqNullSafe("thread_name"), "other").otherwise(kind).alias("kind"), "name",
+        F.when(F.size("args") > 0, text).alias("text"), imported.file_of(F.col("loc")).alias("file"), imported.line_of(F.col("loc")).alias("line"), F.round(F.coalesce("dur", F.lit(0.0)) * 1000).cast("long").alias("dur"), "args",
+    )
+    plot = F.concat_ws("-", "name", "arg")
+    counters = own.where("kind = 'counter'").select("*", F.explode("args").alias("arg", "shown")).withColumns({"plot": plot, "value": F.expr("try_cast(shown as double)"), "format": F.when(plot.endswith("_bytes"), "Memory").otherwise("Number")}).drop("args", "arg", "shown")
+    others = own.where("kind <> 'counter'").withColumn("name", F.when(F.col("kind") == "thread_name", F.col("args")["name"]).otherwise(F.col("name"))).drop("args")
+    return counters.unionByName(others, allowMissingColumns=True)
+
+
+def tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """Trace tables of the events that ``read`` gives, times from the least one on."""
+    return imported.tables(events(rows))

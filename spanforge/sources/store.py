@@ -33,6 +33,17 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "table string, bytes long")
 
 
+def captures(spark: SparkSession, path: str) -> DataFrame:
+    """The captures that a trace directory holds, with the tables that each has."""
+    fs, p = _fs(spark, path)
+    rows = []
+    for table in fs.listStatus(p):
+        if table.isDirectory():
+            names = [s.getPath().getName() for s in fs.listStatus(table.getPath()) if s.isDirectory()]
+            rows += [(n.removeprefix("capture_id="), table.getPath().getName()) for n in names if n.startswith("capture_id=")]
+    return spark.createDataFrame(rows, "capture_id string, table string")
+
+
 def read(spark: SparkSession, path: str, without: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Tables of a trace, but those of the classes ``without``; what isn't asked for isn't opened."""
     skipped = {t for c in without for t in CLASSES[c]}

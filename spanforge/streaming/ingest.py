@@ -2,7 +2,8 @@
 
 The log is a directory of files of ``trace_events``. Per (capture, thread) the state is the stack of open zones; it never
 expires, as a zone may stay open to the end of a capture. Batches may bring events of any thread; within a batch they are
-ordered by (time, seq).
+ordered by (time, seq). An event that comes in a later batch than one after it can't be nested where it belongs: each zone
+that closes from then on tells in ``late`` how many such events its thread has had.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ZONES = "capture_id string, thread long, zone_id long, name string, start long, end long, depth int, parent_id long, reentrant boolean, dur long, self_time long"
+ZONES = "capture_id string, thread long, zone_id long, name string, start long, end long, depth int, parent_id long, reentrant boolean, dur long, self_time long, late long"
 
 
 def event_log(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -26,9 +27,12 @@ def event_log(spark: SparkSession, path: str, schema: str, files_per_batch: int
 
 def _close_zones(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     capture, thread = key
-    stack = json.loads(state.get[0]) if state.exists else []  # [zone id, name, start, time of closed children]
+    # [zone id, name, start, time of closed children] of each open zone; time and seq of the last event; late events
+    stack, last, late = json.loads(state.get[0]) if state.exists else ([], [-(1 << 62), 0], 0)
     rows = []
     batch = pd.concat(list(frames)).sort_values(["time", "seq"], kind="stable")
+    late += sum((int(t), int(s)) < tuple(last) for t, s in zip(batch["time"], batch["seq"], strict=True))
+    last = max(last, [int(batch["time"].iloc[-1]), int(batch["seq"].iloc[-1])])
     for kind, time, seq, name in zip(batch["kind"], batch["time"], batch["seq"], batch["name"], strict=True):
         if kind == "begin":
             stack.append([int(seq), name, int(time), 0])
@@ -37,8 +41,8 @@ def _close_zones(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
             dur = int(time) - start
             if stack:
                 stack[-1][3] += max(dur, 0)
-            rows.append((capture, thread, zone, own, start, int(time), len(stack), stack[-1][0] if stack else None, any(s[1] == own for s in stack), dur, dur - below))
-    state.update((json.dumps(stack),))
+            rows.append((capture, thread, zone, own, start, int(time), len(stack), stack[-1][0] if stack else None, any(s[1] == own for s in stack), dur, dur - below, late))
+    state.update((json.dumps((stack, last, late)),))
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in ZONES.split(", ")])
     out["parent_id"] = out["parent_id"].astype("Int64")
     yield out

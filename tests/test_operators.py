@@ -126,7 +126,11 @@ def test_source_diff(spark):
 def test_texts(spark):
     df = spark.createDataFrame([("void ns::A<int>::run(int) const", 1_500, 2_000_000)], "n string, t long, b long")
     r = df.select(P.short_name(F.col("n")).alias("n"), P.format_time(F.col("t")).alias("t"), P.format_bytes(F.col("b")).alias("b")).first()
-    assert (r.n, r.t, r.b) == ("run", "1.50 us", "1953.13 KB")
+    assert (r.n, r.t, r.b) == ("run", "1.5 μs", "1953.12 KB")
+    times = {0: "0 ns", 1005: "1 μs", 1006: "1.01 μs", 1995: "2 μs", 999_995: "1000 μs", -1_500_000: "-1.5 ms", 90_500_000_000: "1:30.5", 119_960_000_000: "1:60", 5400 * 10**9: "1:30:00", 198_000 * 10**9: "2d07:00:00"}
+    assert {r.t: r.shown for r in spark.createDataFrame([(t,) for t in times], "t long").withColumn("shown", P.format_time(F.col("t"))).collect()} == times
+    deep = {"f<" + "a<" * 12 + "x" + ">" * 13 + "(" * 9 + ")" * 9: "f", "void a<b<c>>::g<d>(h<i(*)(j)>) const": "g", "bool X::operator<(X const&)": "operator_", "main()": "main"}
+    assert {r.n: r.shown for r in spark.createDataFrame([(n,) for n in deep], "n string").withColumn("shown", P.short_name(F.col("n"))).collect()} == deep
     f = spark.createDataFrame([("alpha",), ("beta",), ("alphabet",)], "n string")
     assert [r.n for r in f.where(P.text_filter(F.col("n"), "ALPHA, -bet")).collect()] == ["alpha"]
 

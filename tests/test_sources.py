@@ -33,7 +33,8 @@ def test_chrome(spark, tmp_path):
     assert [r.text for r in t["messages"].collect()] == ["hello"] * 2 and t["frames"].count() == 2
     assert {(r.plot, r.val) for r in t["plot_points"].collect()} == {("mem-used_bytes", 5.0)}
     assert {(r.plot, r.format) for r in t["plots"].collect()} == {("mem-used_bytes", "Memory")}
-    assert {r.name for r in t["threads"].collect()} == {"main"}
+    assert {(r.name, r.shown) for r in t["threads"].collect()} == {("main", "(PID 1 TID 2) main")}
+    assert {(r.name, r.line) for r in t["source_locations"].collect()} == {("a", 12), ("b", None)}
 
 
 def _word(*parts: tuple[int, int]) -> bytes:
@@ -53,15 +54,34 @@ def fxt_file() -> bytes:
 
 
 def test_fxt(spark, tmp_path):
-    rows = [(k, t, th, n, v, d) for k, t, th, n, _, v, d in fxt.decode(fxt_file())]
+    rows = [(k, t, th, n, v, d) for k, t, th, n, _, v, d, _ in fxt.decode(fxt_file())]
     tid = 9 | 7 << 32
-    assert rows == [("begin", 5000, tid, "work", None, None), ("end", 8000, tid, "work", None, None), ("complete", 10_000, tid, "work", None, 20_000), ("counter", 11_000, tid, "work-work", -4.0, None)]
+    assert rows == [("begin", 5000, tid, "work", None, None), ("end", 8000, tid, "work", None, None), ("complete", 10_000, tid, "work", None, 20_000), ("counter", 11_000, tid, "work", -4.0, None)]  # a plot is called as its argument
     (tmp_path / "a.fxt").write_bytes(fxt_file())
     (tmp_path / "broken.fxt").write_bytes(fxt_file()[:50])
     assert fxt.read(spark, str(tmp_path)).count() == 4
     assert fxt.decode(b"") == []
 
 
+def test_fxt_gives_the_tables_of_a_chrome_trace(spark, tmp_path):
+    name = lambda index, text: _word((2, 0), (1 + (len(text) + 7) // 8, 4), (index, 16), (len(text), 32)) + text.encode().ljust((len(text) + 7) // 8 * 8, b"\0")
+    text_arg = lambda key, value: _word((6, 0), (1, 4), (key, 16), (value, 32))
+    out = struct.pack("<Q", fxt.MAGIC) + _word((1, 0), (2, 4)) + struct.pack("<Q", 1_000_000)
+    for i, text in enumerate(("zone", "loc", "a:b.cpp:12", "a frame", "note", "used", "main", "process"), 1):
+        out += name(i, text)
+    out += _word((3, 0), (3, 4), (1, 16)) + struct.pack("<QQ", 0, 9)
+    event = lambda kind, ticks, ref, extra=b"", n=0: _word((4, 0), (2 + len(extra) // 8, 4), (kind, 16), (n, 20), (1, 24), (1, 32), (ref, 48)) + struct.pack("<Q", ticks) + extra
+    out += event(2, 100, 1, text_arg(2, 3), 1) + event(0, 101, 4) + event(0, 102, 5) + event(1, 103, 1, _word((5, 0), (2, 4), (6, 16)) + struct.pack("<d", 1.5), 1) + event(3, 104, 1) + event(3, 105, 1)
+    out += _word((7, 0), (4, 4), (2, 16), (7, 24), (1, 40)) + struct.pack("<Q", 9) + _word((8, 0), (2, 4), (8, 16)) + struct.pack("<Q", 0)
+    (tmp_path / "a.fxt").write_bytes(out)
+    t = fxt.tables(fxt.read(spark, str(tmp_path)))
+    assert [(r.name, r.file, r.line, r.text, r.start, r.end, r.depth) for r in t["zones"].collect()] == [("zone", "a:b.cpp", 12, "loc: a:b.cpp:12\n", 0, 4000, 0)]
+    assert [(r.frame_set, r.time) for r in t["frames"].collect()] == [("a frame", 1000)] and [r.text for r in t["messages"].collect()] == ["note"]
+    assert [(r.plot, r.time, r.val) for r in t["plot_points"].collect()] == [("used", 3000, 1.5)] and [r.format for r in t["plots"].collect()] == ["Number"]
+    assert [(r.thread, r.shown) for r in t["threads"].collect()] == [(9, "(9) main")]
+    assert set(t) == set(chrome.tables(chrome.read(spark, str(tmp_path))))
+
+
 def test_store(spark, tmp_path):
     rows = spark.createDataFrame([("A", 1, 2)], "capture_id string, thread long, time long")
     path, target = f"{tmp_path}/t", f"{tmp_path}/s"
@@ -105,3 +125,17 @@ def test_no_machine_local_folder_on_a_cluster():
         assert scratch.shared_dir(_Session(master, "hdfs://x/")) == "hdfs://x"
     for master in ("local", "local[4]", "local[*]", "local[2,3]"):
         assert "spanforge-" in scratch.shared_dir(_Session(master))
+
+
+def test_late_events_are_told(spark, tmp_path):
+    schema = "capture_id string, seq long, time long, thread long, kind string, name string"
+    for rows in ([("A", 0, 0, 1, "begin", "a"), ("A", 3, 9, 1, "end", None)], [("A", 1, 2, 1, "begin", "b"), ("A", 2, 4, 1, "end", None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    got = ingest.capture(ingest.event_log(spark, f"{tmp_path}/log", schema, files_per_batch=1), f"{tmp_path}/zones", f"{tmp_path}/cp").collect()
+    assert sorted((r.zone_id, r.late) for r in got) == [(0, 0), (1, 2)]
+
+
+def test_fxt_round_trip():
+    rows = [("begin", 5, 7, 3, "näme", 0.0), ("instant", 6, 7, 3, "x", 0.0), ("counter", 7, 7, 3, "used", 2.5), ("end", 9, 7, 3, "", 0.0)]
+    tid = 3 | 7 << 32
+    assert [(k, t, th, n, v) for k, t, th, n, _, v, _, _ in fxt.decode(fxt.encode(rows))] == [("begin", 5, tid, "näme", None), ("instant", 6, tid, "x", None), ("counter", 7, tid, "used", 2.5), ("end", 9, tid, "", None)]
