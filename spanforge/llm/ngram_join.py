@@ -38,11 +38,18 @@ WORDS = 5
 LONG = 64
 #: Rounds in which shingles are moved; what stays long after them is compared by pivots.
 ROUNDS = 3
-#: At most so many shingles are moved, the most frequent first (8 MB to each task); it is a matter of cost alone.
+#: At most so many shingles are moved, the most frequent first (8 MB to each task). Others that are as frequent stay where
+#: they are: their lists, once longer than SCANNED, are compared by pivots as well.
 MOVED = 1 << 20
 #: Sets up to this size are considered for the enumeration of subsets.
 MOST_SMALL = 12
 PIVOTS = 8
+#: Lists of more entries are compared by pivots too, whatever was moved.
+SCANNED = 4 * LONG
+#: Sets that a task remembers to have written.
+SEEN = 100_000
+#: Members of a list that are compared in one group.
+BLOCK = 4096
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -148,6 +155,8 @@ def _digest_sets(batches):
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 key = (d & (1 << 64) - 1) - (1 << 63), (d >> 64) - (1 << 63)
                 new = len(s) > 0 and key not in seen
+                if len(seen) >= SEEN:
+                    seen.clear()  # a set that is written twice is dropped later
                 seen.add(key)
                 n.append(len(s))
                 h1.append(key[0])
@@ -178,39 +187,83 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return at.join(rows, ["_sf_file", "_sf_more", "_sf_row"], "left_semi").select("_sf_row", "text").mapInArrow(_full_sets, "sid long, tokens array<long>")
 
 
-@trimmed
-def _scan_lists(batches):
-    """All lists of a partition: pairs of sets that share an entry and can still share enough after it."""
-    tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-    if not tables:
-        return
-    token, sid, n, pos = (pa.concat_tables(tables).column(i).to_numpy() for i in range(4))
-    order = np.lexsort((sid, token))
-    token, sid, n, pos = token[order], sid[order], n[order].astype(np.int64), pos[order].astype(np.int64)
-    same = token[1:] == token[:-1]
-    listed = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    token, sid, n, pos = token[listed], sid[listed], n[listed], pos[listed]
-    found, held, lag = [], 0, 1
-
-    def packed():
-        both = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    while lag < len(token):
-        i = np.flatnonzero(token[lag:] == token[:-lag])
-        if not len(i):
-            break
-        j = i + lag
-        least = overlap(n[i], n[j])
-        fit = (pos[i] <= n[i] - least) & (pos[j] <= n[j] - least) & (least <= np.minimum(n[i], n[j])) & (sid[i] != sid[j])
-        i, j = i[fit], j[fit]
-        found.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], axis=1))
-        held, lag = held + len(i), lag + 1
-        if held > 500_000:
-            yield packed()
-            found, held = [], 0
-    if found:
-        yield packed()
+def _scan_lists(most: int):
+    """A scan of inverted lists, as rows (token, sid, n, pos) in the order of tokens, a token at a time: pairs of sets that
+    share an entry and can still share enough after it (a, b), and the entries of lists of more than ``most`` (a: token,
+    b: sid, n, pos), which are not compared here."""
+
+    def pairs_of(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        found, lag = [np.zeros((0, 2), np.int64)], 1
+        while lag < len(token):
+            i = np.flatnonzero(token[lag:] == token[:-lag])
+            if not len(i):
+                break
+            j = i + lag
+            least = overlap(n[i], n[j])
+            fit = (pos[i] <= n[i] - least) & (pos[j] <= n[j] - least) & (least <= np.minimum(n[i], n[j])) & (sid[i] != sid[j])
+            i, j = i[fit], j[fit]
+            found.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], axis=1))
+            lag += 1
+        return np.unique(np.concatenate(found), axis=0)
+
+    def packed(pairs: np.ndarray, entries: list[np.ndarray]) -> pa.RecordBatch:
+        token, sid, n, pos = entries
+        none = pa.nulls(len(pairs), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([pairs[:, 0], token])), pa.array(np.concatenate([pairs[:, 1], sid])), *(pa.concat_arrays([none, pa.array(x.astype(np.int32))]) for x in (n, pos))],
+            ["a", "b", "n", "pos"],
+        )
+
+    def scanned(rows: list[np.ndarray]):
+        """Whole lists."""
+        starts = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+        sizes = np.diff(np.r_[starts, len(rows[0])])
+        each = np.repeat(sizes, sizes)
+        pairs = pairs_of(*(x[(each > 1) & (each <= most)] for x in rows))
+        long = [x[each > most] for x in rows]
+        if len(pairs) or len(long[0]):
+            yield packed(pairs, long)
+
+    @trimmed
+    def run(batches):
+        held, known = _EMPTY, None  # the last list so far, which may go on; its token where it is known to be long
+        for rows in _gathered(batches, 1 << 16):
+            if known is not None:
+                more = int(np.searchsorted(rows[0], known, "right"))
+                yield packed(_EMPTY_PAIRS, [x[:more] for x in rows])
+                rows = [x[more:] for x in rows]
+                if not len(rows[0]):
+                    continue
+                known = None
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            first = int(np.searchsorted(rows[0], rows[0][-1]))
+            if first:
+                yield from scanned([x[:first] for x in rows])
+            held = [x[first:] for x in rows]
+            if len(held[0]) > most:
+                yield packed(_EMPTY_PAIRS, held)
+                held, known = _EMPTY, held[0][0]
+        if len(held[0]):
+            yield from scanned(held)
+
+    return run
+
+
+_EMPTY, _EMPTY_PAIRS = [np.zeros(0, np.int64)] * 4, np.zeros((0, 2), np.int64)
+
+
+def _gathered(batches, least: int):
+    """Columns of batches as arrays of int64, at least ``least`` rows at a time."""
+    parts, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            parts.append([c.to_numpy().astype(np.int64) for c in batch.columns])
+            n += batch.num_rows
+        if n >= least:
+            yield [np.concatenate(x) for x in zip(*parts, strict=True)]
+            parts, n = [], 0
+    if parts:
+        yield [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 def _rows_of(lists: pa.ListArray) -> list[np.ndarray]:
@@ -366,21 +419,26 @@ def _pivot_pairs(entries: DataFrame) -> DataFrame:
 
 def _open_pairs(entries: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs in long lists that are not yet connected: members outside the list's largest component against the others,
-    as far as their bitmaps let them be links."""
+    as far as their sizes and bitmaps let them be links. Lists are cut by size of the set (a step of 1.25, the most that
+    linked sets differ by) and into groups of about BLOCK members, so that no task gets a whole list."""
     members = entries.select("sid").distinct()
     bits = cut(sets.select("sid", "bits").join(members, "sid", "left_semi"), "join-bits")
-    rooted = cut(entries.join(bits, "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "pos", "bits", F.coalesce("root", "sid").alias("root")), "join-rooted")
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)) + 1e-9).cast("int")
+    rooted = entries.join(bits, "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "pos", "bits", F.coalesce("root", "sid").alias("root"), step.alias("step"))
+    rooted = cut(rooted, "join-rooted")
     sizes = rooted.groupBy("token", "root").count()
     largest = sizes.groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("largest"))
-    marked = rooted.join(largest, "token")
-    alone = marked.where("root <> largest").alias("x")
+    groups = cut(rooted.groupBy("token", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("groups")), "join-groups")
+    alone = rooted.join(largest, "token").where("root <> largest").drop("largest", "step").withColumn("step", F.explode(F.array(*[step + k for k in (-1, 0, 1)])))
+    alone = alone.join(groups, ["token", "step"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups").alias("x")
+    others = rooted.join(groups, ["token", "step"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("groups")).cast("int")).drop("groups").alias("y")
     differ = "aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (s, k) -> s + k)"
     bound = f"(size(x.bits) <> size(y.bits) or {differ} <= x.n + y.n - 2 * ceil(4 * (x.n + y.n) / 9))"
-    pairs = alone.join(rooted.alias("y"), F.expr(f"x.token = y.token and x.root <> y.root and {_fits('x', 'y')} and {bound}"))
+    pairs = alone.join(others, F.expr(f"x.token = y.token and x.step = y.step and x.part = y.part and x.root <> y.root and {_fits('x', 'y')} and {bound}"))
     return pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
 
 
-def join_classes(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame]:
+def join_classes(docs: DataFrame, long: int = LONG, scan: int = SCANNED) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, file, row, n, sid, more) and the roots (node, root) of the sets that have links."""
     spark = docs.sparkSession
     short_batches(spark)
@@ -398,15 +456,18 @@ def join_classes(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFram
 
     listed = F.col("n") * 5 >= 4 * (small + 1)
     plain = sets.where(listed).select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
-    entries = None
-    lists = plain.select("token", "sid", "n", "pos")
+    lists, long_entries = plain.select("token", "sid", "n", "pos"), None
     if full is not None:
         others = sets.where(listed).join(bounded_side(full.select("sid")), "sid", "left_anti").select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
         lists = others.select("token", "sid", "n", "pos").unionByName(_moved_prefixes(spark, full, moved, still, "plain").where(listed))
-        entries = cut(_moved_prefixes(spark, full, moved, still, "long").where(listed), "join-long")
-    pairs = cut(lists.repartition("token").mapInArrow(_scan_lists, "a long, b long").distinct(), "join-pairs")
+        long_entries = _moved_prefixes(spark, full, moved, still, "long").where(listed)
+    dealt = lists.repartition("token").sortWithinPartitions("token", "sid")
+    scanned = cut(dealt.mapInArrow(_scan_lists(scan), "a long, b long, n int, pos int").distinct(), "join-pairs")
+    pairs = scanned.where("n is null").select("a", "b")
+    entries = scanned.where("n is not null").select(F.col("a").alias("token"), F.col("b").alias("sid"), "n", "pos")
+    entries = cut(entries if long_entries is None else entries.unionByName(long_entries), "join-long")
     drop_tables(spark, *paths)
-    if entries is None:
+    if not entries.limit(1).count():
         links = links.unionByName(_verified(docs, sets, pairs))
         return base, components(links)
     links = links.unionByName(_verified(docs, sets, pairs.unionByName(_pivot_pairs(entries))))
@@ -417,8 +478,8 @@ def join_classes(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFram
     return base, roots
 
 
-def _grouped(docs: DataFrame, long: int) -> DataFrame:
-    base, roots = join_classes(docs, long)
+def _grouped(docs: DataFrame, long: int, scan: int) -> DataFrame:
+    base, roots = join_classes(docs, long, scan)
     own = F.struct("doc_id", "file", "row")
     classes = base.where("n > 0").groupBy("sid", "more").agg(F.min("doc_id").alias("low"), F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("keep"), F.min(own).alias("other"))
     rooted = cut(classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "join-classes")
@@ -431,12 +492,27 @@ def _grouped(docs: DataFrame, long: int) -> DataFrame:
     return linked.unionByName(alone)
 
 
-def report(docs: DataFrame, long: int = LONG) -> DataFrame:
+def report(docs: DataFrame, long: int = LONG, scan: int = SCANNED) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    return _grouped(located(docs), long).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return _grouped(located(docs), long, scan).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame, long: int = LONG) -> DataFrame:
+def one_of_each(docs: DataFrame, long: int = LONG, scan: int = SCANNED) -> DataFrame:
     """``docs`` with one row of each component, that with the smallest doc_id."""
     docs = located(docs)
-    return without_rows(docs, _grouped(docs, long).where("not kept"))
+    return without_rows(docs, _grouped(docs, long, scan).where("not kept"))
+
+
+def oracle() -> str:
+    """All pairs by shared shingle, then the closure of their links; for tables without large groups."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[k:k + 4], ' ') AS shingle FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * shared >= 80 * (nx.n + ny.n - shared)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT r, r AS t FROM n UNION SELECT reach.r, e.y FROM reach JOIN e ON e.x = reach.t),
+c AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.t GROUP BY reach.r)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)"""

@@ -64,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_mixture": mixture.oracle(),
+    "op3_ngram_join": ngram_join.oracle(),
     "op4_url_rules": url_rules.oracle(),
     "op8_chat": chat.oracle(),
     "op9_exact_dedup": """

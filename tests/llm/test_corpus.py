@@ -246,6 +246,53 @@ def test_components_equal_brute_force(docs_of, seed, long):
     assert got == brute_components(rows)
 
 
+def word_shingles(text):
+    """The set of a text as words, without the operator's hashes."""
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_hashed_sets_equal_words(docs_of):
+    texts = [t for _, t in near_copies(7)] + [None, "é ü\x0bß\x0cx \x85 y\u00a0z A É", "a\x1cb c d e f", "x " * 30_000]
+    assert [len(ngram_join.shingle_set(t)) for t in texts] == [len(word_shingles(t)) for t in texts]
+    for a, b in zip(texts, texts[1:]):
+        assert len(np.intersect1d(ngram_join.shingle_set(a), ngram_join.shingle_set(b))) == len(word_shingles(a) & word_shingles(b))
+
+
+def test_join_query_equals_sql(spark, duck, sf_dir):
+    assert of_spark(queries.op3_ngram_join(spark, sf_dir)) == of_duck(duck, queries.ORACLES["op3_ngram_join"])
+
+
+@pytest.mark.parametrize("most, step", [(3, 7), (2, 1000), (50, 13)])
+def test_scan_of_lists_in_batches(most, step, monkeypatch):
+    import pyarrow as pa
+
+    gathered = ngram_join._gathered
+    monkeypatch.setattr(ngram_join, "_gathered", lambda batches, least: gathered(batches, step))
+
+    rnd = random.Random(most)
+    rows = sorted((rnd.choice([1, 2, 3, 5, 8, 9]) if rnd.random() < 0.5 else rnd.randint(10, 60), rnd.randint(-99, 99), 10, rnd.randint(0, 4)) for _ in range(150))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[k : k + step]), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["token", "sid", "n", "pos"]) for k in range(0, len(rows), step)]
+    got = [r for b in ngram_join._scan_lists(most)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    lists = {}
+    for r in rows:
+        lists.setdefault(r[0], []).append(r)
+    pairs = {(min(x[1], y[1]), max(x[1], y[1])) for v in lists.values() if len(v) <= most for i, x in enumerate(v) for y in v[:i] if x[1] != y[1] and x[3] <= 1 and y[3] <= 1}
+    assert {r[:2] for r in got if r[2] is None} == pairs
+    assert sorted(r for r in got if r[2] is not None) == sorted(r for v in lists.values() if len(v) > most for r in v)
+
+
+def test_long_lists_that_were_not_moved(docs_of, monkeypatch):
+    """Beyond MOVED shingles the result is the same."""
+    monkeypatch.setattr(ngram_join, "MOVED", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    rows = near_copies(5)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.report(docs_of(rows), 4, 6).collect())
+    assert got == brute_components(rows)
+
+
 @pytest.mark.parametrize("most", [0, 7, 12])
 def test_small_sets_give_the_same_at_any_boundary(docs_of, monkeypatch, most):
     rows = near_copies(4)
