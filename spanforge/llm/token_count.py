@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import cut, short_batches, trimmed
 
 LIMIT = 4096
-#: Pre-tokens that every task gets at most, and their longest length: 200,000 of 64 characters take 12.8 million characters.
-HEAD, HEAD_LENGTH = 200_000, 64
+#: Pre-tokens that every task gets at most, and their longest length: 400,000 of 48 characters take 19 million characters.
+HEAD, HEAD_LENGTH = 400_000, 48
 #: Pre-tokens that a task gathers before it passes them on.
-GATHERED = 200_000
+GATHERED = 600_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _RUNS = re.compile(r" +[^ ]*|[^ ]+")
 _MARK = "▁"
