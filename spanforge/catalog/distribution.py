@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import findzone as Z
 from ..plans.nesting import with_self_time
-from ..plans.stats import histogram
+from ..plans.stats import histogram, summarised
 from ..operators.zones import named, running
 from ..sources import adapters as A
 from .base import CTES, query
@@ -78,6 +78,18 @@ def _(spark, sf_dir):
     return histogram(zones(spark, sf_dir).where("dur > 0"), ["name"], "dur", BINS, log=True).select("name", "bin", "count", "time")
 
 
+@query(
+    "q48_summarised_histogram",
+    """WITH e AS (SELECT name, min(dur) AS tmin, max(dur) AS tmax FROM z WHERE dur > 0 GROUP BY name), g AS (SELECT name, tmin, tmax, i, tmin + i * (tmax - tmin) // 500 AS lo, tmin + (i + 1) * (tmax - tmin) // 500 AS hi FROM e, (SELECT unnest(range(500)) AS i)),
+f AS (SELECT z.name, i * 32 // 500 AS bin, count(*) AS count, CAST(sum(dur) AS BIGINT) AS time FROM z JOIN g ON z.name = g.name AND (dur >= lo OR i = 0) AND (dur < hi OR i = 499) WHERE dur > 0 GROUP BY 1, 2)
+SELECT e.name, CAST(b AS INTEGER) AS bin, CAST(trunc(tmin + b / 32.0::DOUBLE * (tmax - tmin)) AS BIGINT) AS start, CAST(trunc(tmin + (b + 1) / 32.0::DOUBLE * (tmax - tmin)) AS BIGINT) AS "end", coalesce(count, 0) AS count, coalesce(time, 0) AS time
+FROM e CROSS JOIN (SELECT unnest(range(32)) AS b) LEFT JOIN f ON f.name = e.name AND f.bin = b""",
+    "z",
+)
+def _(spark, sf_dir):
+    return summarised(zones(spark, sf_dir).where("dur > 0"), ["name"], "dur", 500)
+
+
 @query("q47_histogram_trimmed", "WITH e AS (SELECT name, min(bin) AS low, max(bin) AS high FROM hist WHERE count >= 20 GROUP BY name) SELECT hist.* FROM hist JOIN e ON hist.name = e.name AND bin BETWEEN low AND high", "hist")
 def _(spark, sf_dir):
     return Z.trimmed(plain_histogram(spark, sf_dir), ["name"], 20)

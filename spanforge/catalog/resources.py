@@ -129,9 +129,11 @@ def _(spark, sf_dir):
     return L.summary(A.lock_events(spark, sf_dir))
 
 
-@query("q91d_lock_wait_stats", "WITH p AS (SELECT lock_id, type, time, lag(type) OVER w AS pt, lag(time) OVER w AS pq FROM lk WHERE type IN ('Wait', 'Obtain') WINDOW w AS (PARTITION BY lock_id, thread ORDER BY time, seq)) SELECT lock_id, CAST(sum(time - pq) AS BIGINT) AS total, CAST(sum(time - pq) AS DOUBLE) / count(*) AS avg, count(*) AS count FROM p WHERE type = 'Obtain' AND pt = 'Wait' AND lock_id IN (SELECT lock_id FROM ls WHERE holding <> 0 AND waiting <> 0) GROUP BY lock_id", "ls")
+@query("q91d_lock_wait_stats", "WITH p AS (SELECT lock_id, type, time, lag(type) OVER w AS pt, lag(time) OVER w AS pq FROM lk WHERE type IN ('Wait', 'Obtain') WINDOW w AS (PARTITION BY lock_id, thread ORDER BY time, seq)) SELECT lock_id, CAST(sum(time - pq) AS BIGINT) AS total, CAST(sum(time - pq) AS DOUBLE) / count(*) AS avg, count(*) AS count, 'lock ' || lock_id AS name, (SELECT string_agg(thread, ',' ORDER BY f, q) FROM (SELECT lock_id AS l, thread, arg_min(time, (time, seq)) AS f, arg_min(seq, (time, seq)) AS q FROM lk GROUP BY lock_id, thread) WHERE l = lock_id) AS threads FROM p WHERE type = 'Obtain' AND pt = 'Wait' AND lock_id IN (SELECT lock_id FROM ls WHERE holding <> 0 AND waiting <> 0) GROUP BY lock_id", "ls")
 def _(spark, sf_dir):
-    return L.wait_stats(A.lock_events(spark, sf_dir))
+    locks = spark.range(8).select(F.lit(A.CAPTURE).alias("capture_id"), F.col("id").cast("int").alias("lock_id"), F.concat(F.lit("lock "), "id").alias("name"))
+    stats = L.wait_stats(A.lock_events(spark, sf_dir), locks)
+    return stats.withColumn("threads", F.array_join(F.transform("threads", lambda x: x.cast("string")), ","))
 
 
 @query("q91e_lock_info", "SELECT lock_id, CAST(coalesce(sum(until - time) FILTER (holding <> 0), 0) AS BIGINT) AS hold_time, CAST(coalesce(sum(until - time) FILTER (waiting <> 0), 0) AS BIGINT) AS wait_time, CAST(max(waiting) AS BIGINT) AS max_waiters, max(time) - min(time) AS lifetime FROM ls GROUP BY lock_id", "ls")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.intervals import covering
-from ..plans.stats import RANKS, histogram, nearest_rank, sum_sq
+from ..plans.stats import RANKS, binned, nearest_rank, sum_sq
 
 GROUPS = ("thread", "text", "name", "callstack", "parent", "none")
 
@@ -86,9 +86,7 @@ def side_by_side(zones: DataFrame, this: str, other: str) -> DataFrame:
 def common_histogram(zones: DataFrame, bins: int, normalised: bool = False) -> DataFrame:
     """Counts of both captures over the same bins; ``normalised``: as shares of the capture."""
     rows = zones.where("dur > 0")
-    pooled = histogram(rows.select("name", "dur"), ["name"], "dur", bins).select("name", "bin", "lo", "hi")
-    last = pooled.groupBy("name").agg(F.max("bin").alias("last"))
-    placed = rows.select("capture_id", "name", "dur").join(pooled.join(last, "name"), "name").where((F.col("lo") <= F.col("dur")) & ((F.col("dur") < F.col("hi")) | (F.col("bin") == F.col("last"))))
+    placed = binned(rows.select("capture_id", "name", "dur"), ["name"], "dur", bins)
     counts = placed.groupBy("name", "bin", "lo").agg(F.count(F.when(F.col("capture_id") == "A", 1)).alias("a"), F.count(F.when(F.col("capture_id") == "B", 1)).alias("b"))
     if not normalised:
         return counts

@@ -13,15 +13,17 @@ from ..plans.stats import histogram, nearest_rank, sum_sq
 def with_ends(frames: DataFrame, last_time: int) -> DataFrame:
     """``end`` and ``time``: a continuous frame ends where the next begins, the last with the trace; a discontinuous one at
     its own end, an open one with the trace."""
-    nxt = F.lead("start").over(Window.partitionBy("capture_id", "frame_set").orderBy("idx"))
-    end = F.coalesce(F.when(F.col("continuous"), nxt).otherwise(F.col("end_raw")), F.lit(last_time))
-    return frames.withColumn("end", end).withColumn("time", F.col("end") - F.col("start"))
+    by = ["capture_id", "frame_set", "idx"]  # frames are numbered in turn: the next one is found by its number
+    nxt = frames.where("continuous").select("capture_id", "frame_set", (F.col("idx") - 1).alias("idx"), F.col("start").alias("_next"))
+    end = F.coalesce(F.when(F.col("continuous"), F.col("_next")).otherwise(F.col("end_raw")), F.lit(last_time))
+    return frames.join(nxt, by, "left").withColumn("end", end).withColumn("time", F.col("end") - F.col("start")).select(*frames.columns, "end", "time")
 
 
 def full_count(frames: DataFrame) -> DataFrame:
     """Frames that are complete: the last one of a continuous set and open discontinuous ones are not."""
-    last = F.max("idx").over(Window.partitionBy("capture_id", "frame_set"))
-    rows = frames.withColumn("full", F.when(F.col("continuous"), F.col("idx") < last).otherwise(F.col("end_raw").isNotNull()))
+    last = F.col("_last")
+    ends = frames.groupBy("capture_id", "frame_set").agg(F.max("idx").alias("_last"))
+    rows = frames.join(ends, ["capture_id", "frame_set"]).withColumn("full", F.when(F.col("continuous"), F.col("idx") < last).otherwise(F.col("end_raw").isNotNull()))
     return rows.groupBy("frame_set").agg(F.count(F.when(F.col("full"), 1)).alias("full_frames"), F.count(F.lit(1)).alias("frames"))
 
 

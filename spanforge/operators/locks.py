@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.blocks import running_sums
+
 
 def _is(*kinds: str):
     return F.when(F.col("type").isin(*kinds), 1).otherwise(0)
@@ -12,9 +14,8 @@ def _is(*kinds: str):
 
 def states(events: DataFrame) -> DataFrame:
     """After each event: threads that wait and that hold, in both flavours, and whether that is contention."""
-    w = Window.partitionBy("capture_id", "lock_id").orderBy("time", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumn("waiting", F.sum(_is("Wait") - _is("Obtain")).over(w)).withColumn("holding", F.sum(_is("Obtain") - _is("Release")).over(w))
-    rows = rows.withColumn("waiting_shared", F.sum(_is("WaitShared") - _is("ObtainShared")).over(w)).withColumn("sharing", F.sum(_is("ObtainShared") - _is("ReleaseShared")).over(w))
+    steps = {"waiting": _is("Wait") - _is("Obtain"), "holding": _is("Obtain") - _is("Release"), "waiting_shared": _is("WaitShared") - _is("ObtainShared"), "sharing": _is("ObtainShared") - _is("ReleaseShared")}
+    rows = running_sums(events, ["capture_id", "lock_id"], ["time", "seq"], steps)
     contended = ((F.col("holding") != 0) & (F.col("waiting") + F.col("waiting_shared") != 0)) | ((F.col("sharing") != 0) & (F.col("waiting") != 0))
     return rows.withColumn("contended", contended)
 
@@ -27,14 +28,19 @@ def contended_only(events: DataFrame) -> DataFrame:
     return summary(events).where("contended and threads >= 2")
 
 
-def wait_stats(events: DataFrame) -> DataFrame:
-    """Per contended lock: each obtain paired with the thread's latest wait before it."""
+def wait_stats(events: DataFrame, locks: DataFrame | None = None) -> DataFrame:
+    """Per contended lock: each obtain paired with the thread's latest wait before it, and the lock's threads in order of
+    their first event; with ``locks`` (capture_id, lock_id, name), its name."""
     w = Window.partitionBy("capture_id", "lock_id", "thread").orderBy("time", "seq")
     kinds = ("Wait", "WaitShared", "Obtain", "ObtainShared")
     rows = events.where(F.col("type").isin(*kinds)).withColumn("before", F.lag(F.struct("type", "time")).over(w))
     pairs = rows.where(F.col("type").startswith("Obtain") & F.col("before.type").startswith("Wait")).withColumn("wait", F.col("time") - F.col("before.time"))
     contended = summary(events).where("contended").select("lock_id")
-    return pairs.join(contended, "lock_id", "left_semi").groupBy("lock_id").agg(F.sum("wait").alias("total"), (F.sum("wait") / F.count(F.lit(1))).alias("avg"), F.count(F.lit(1)).alias("count"))
+    stats = pairs.join(contended, "lock_id", "left_semi").groupBy("lock_id").agg(F.sum("wait").alias("total"), (F.sum("wait") / F.count(F.lit(1))).alias("avg"), F.count(F.lit(1)).alias("count"))
+    first = events.groupBy("lock_id", "thread").agg(F.min(F.struct("time", "seq")).alias("at"))
+    listed = first.groupBy("lock_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "thread"))), lambda x: x["thread"]).alias("threads"))
+    stats = stats.join(listed, "lock_id")
+    return stats if locks is None else stats.join(locks.select("lock_id", "name"), "lock_id", "left")
 
 
 def info(events: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.intervals import covering
-from ..plans.nesting import ancestors
+from ..plans.nesting import along_parents
 from ..plans.stats import prefixes
 
 
@@ -124,9 +124,7 @@ def flame_of_samples(samples: DataFrame, period: int) -> DataFrame:
 
 def zone_paths(zones: DataFrame) -> DataFrame:
     """Each zone with the names from the outermost zone down to it."""
-    names = zones.select("capture_id", F.col("zone_id").alias("ancestor_id"), "name")
-    steps = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "name")))
-    return ancestors(zones).join(names, ["capture_id", "ancestor_id"]).groupBy("capture_id", "zone_id").agg(F.array_join(F.transform(steps, lambda s: s["name"]), "/").alias("path"))
+    return along_parents(zones, F.col("name"), lambda above, below: F.concat_ws("/", above, below), "path")
 
 
 def flame_of_zones(zones: DataFrame, since: int | None = None, until: int | None = None, running: DataFrame | None = None) -> DataFrame:

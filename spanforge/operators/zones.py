@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import RangeRule, in_range, zone_name
 from ..plans.intervals import covering, overlapping
-from ..plans.nesting import ancestors
+from ..plans.nesting import along_parents
 from ..plans.stats import deviation, interpolated, pooled, sum_sq
 
 
@@ -45,7 +45,7 @@ def truncated(zones: DataFrame, percentile: float = 90, own: bool = False) -> Da
     x = "self_time" if own else "dur"
     p = min(max(percentile, 1), 99) / 100
     rows = counted(zones)
-    ends = rows.groupBy("srcloc").agg(interpolated(x, p).alias("limit"))
+    ends = interpolated(rows, ["srcloc"], x, p, "limit")
     kept = rows.join(ends, "srcloc").where(F.col(x) <= F.col("limit"))
     out = kept.groupBy("srcloc", "name").agg(F.first("limit").alias("limit"), F.call_function("div", F.sum(x), F.count(F.lit(1))).alias("truncated_mean_ns"))
     return out.select("srcloc", "name", F.round("limit").cast("long").alias("percentile_ns"), "truncated_mean_ns")
@@ -119,10 +119,11 @@ def thread_counts(zones: DataFrame) -> DataFrame:
 
 def descendants(zones: DataFrame, zone_name: str, exclusive: bool = False) -> DataFrame:
     """Time and count of all zones below the zones called ``zone_name``, by name; ``exclusive``: without their children."""
-    tops = zones.where((F.col("name") == zone_name) & F.col("end").isNotNull()).select("capture_id", F.col("zone_id").alias("ancestor_id"))
-    below = ancestors(zones).where("distance > 0").join(tops, ["capture_id", "ancestor_id"])
-    rows = zones.where("dur is not null").join(below.select("capture_id", "zone_id"), ["capture_id", "zone_id"])
-    return rows.groupBy("name").agg(F.sum("self_time" if exclusive else "dur").alias("time"), F.count(F.lit(1)).alias("count"))
+    # a zone counts once for each of them that it lies below
+    top = F.when((F.col("name") == zone_name) & F.col("end").isNotNull(), 1).otherwise(0).cast("long")
+    held = along_parents(zones, top, lambda above, below: above + below, "_tops")
+    rows = zones.where("dur is not null").join(held, ["capture_id", "zone_id"]).withColumn("_tops", F.col("_tops") - top).where("_tops > 0")
+    return rows.groupBy("name").agg(F.sum(F.col("self_time" if exclusive else "dur") * F.col("_tops")).alias("time"), F.sum("_tops").alias("count"))
 
 
 def children(zones: DataFrame) -> DataFrame:
@@ -163,10 +164,7 @@ def self_time_in(zones: DataFrame, since: int, until: int) -> DataFrame:
 
 def parent_chain(zones: DataFrame) -> DataFrame:
     """Names from the outermost zone down to the zone itself."""
-    names = zones.select("capture_id", F.col("zone_id").alias("ancestor_id"), "name")
-    chain = ancestors(zones).join(names, ["capture_id", "ancestor_id"])
-    steps = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "name")))
-    return chain.groupBy("zone_id").agg(F.array_join(F.transform(steps, lambda s: s["name"]), "/").alias("path"))
+    return along_parents(zones, F.col("zone_name" if "zone_name" in zones.columns else "name"), lambda above, below: F.concat_ws("/", above, below), "path").select("zone_id", "path")
 
 
 def attached(events: DataFrame) -> DataFrame:

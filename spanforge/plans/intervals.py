@@ -18,7 +18,7 @@ def covering(points: DataFrame, spans: DataFrame, keys: list[str], closed: bool
     most, whatever its length. A point looks into one bucket of each class that its key has, found by an equi-join.
     """
     spans = spans.withColumn("_c", _class_of(F.col("end") - F.col("start") + 1))
-    bucket = lambda t, c: F.floor(t.cast("double") / F.pow(F.lit(2.0), c))
+    bucket = lambda t, c: F.call_function("shiftright", t.cast("long"), c)  # noqa: E731 (a whole number below, as of negative times too)
     spread = spans.withColumn("_b", F.explode(F.sequence(bucket(F.col("start"), F.col("_c")), bucket(F.col("end"), F.col("_c")))))
     classes = spans.groupBy(*keys).agg(F.collect_set("_c").alias("_cs"))  # at most 63 to a key
     probes = points.join(classes, keys).withColumn("_c", F.explode("_cs")).drop("_cs")

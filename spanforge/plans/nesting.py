@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut
-from .blocks import last_before, running_min, running_sum
+from ..sources.scratch import cut, cut_to, drop
+from .blocks import block_width, last_before, running_min, running_sum
 
 
 def nest(events: DataFrame) -> DataFrame:
     """Zones of begin/end rows (capture_id, seq, time, thread, kind in begin/end, srcloc).
 
     A thread's rows form a stack; an end on an empty stack is passed over. Adds depth, parent_id, end, end_seq and
-    re-entrancy (an open ancestor has the same source location).
+    re-entrancy (an open ancestor has the same source location). Where a thread has many rows, they are nested in blocks.
     """
+    width = block_width(events.select("capture_id", "thread", "time"), ["capture_id", "thread"], "time")
+    return _nest_threads(events) if width is None else nest_blocks(events, width)
+
+
+def _nest_threads(events: DataFrame) -> DataFrame:
     by = ["capture_id", "thread"]
     order = ["time", "seq"]
     so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -90,6 +97,25 @@ def with_self_time(zones: DataFrame) -> DataFrame:
     return joined.withColumn("self_time", F.col("dur") - F.coalesce("below", F.lit(0))).drop("below")
 
 
+def along_parents(zones: DataFrame, value: Column, join: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """capture_id, zone_id and ``name``: ``value`` of all zones from the outermost one down to the zone, put together by
+    ``join`` (above, below), which must be associative.
+
+    Pointers double: in each round a zone takes over what the zone it points to has gathered, and points where that one
+    points. Rounds are the logarithm of the depth, and rows stay as many as zones.
+    """
+    by, paths = ["capture_id", "zone_id"], []
+    rows, path = cut_to(zones.select(*by, F.col("parent_id").alias("up"), value.alias(name)), "paths")
+    paths.append(path)
+    while rows.where("up is not null").limit(1).count():
+        above = rows.select("capture_id", F.col("zone_id").alias("up"), F.col("up").alias("_up"), F.col(name).alias("_above"))
+        met = rows.where("up is not null").join(above, ["capture_id", "up"], "left").select(*by, F.col("_up").alias("up"), F.when(F.col("_above").isNull(), F.col(name)).otherwise(join(F.col("_above"), F.col(name))).alias(name))
+        rows, path = cut_to(rows.where("up is null").select(*by, "up", name).unionByName(met), "paths")
+        paths.append(path)
+        drop(zones.sparkSession, paths.pop(0))
+    return rows.drop("up")
+
+
 def ancestors(zones: DataFrame) -> DataFrame:
     """(capture_id, zone_id, ancestor_id, distance): every zone with itself and each zone above it.
 

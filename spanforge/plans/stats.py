@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,45 +28,104 @@ def deviation(total: Column, squares: Column, n: Column, mean: Column) -> Column
     return F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)))).otherwise(F.lit(0.0))
 
 
-def nearest_rank(df: DataFrame, keys: list[str], x: str, ranks: tuple[float, ...] = RANKS) -> DataFrame:
-    """Element at index min(n - 1, floor(p * n)) of each group's sorted values, for each p; columns p50, p75, ...
+def _bucket(x: str) -> Column:
+    """A number that grows with a value: 1024 steps to each power of two, one for all between -1 and 1."""
+    v = F.col(x).cast("double")
+
+    def steps(a: Column) -> Column:
+        power = F.floor(F.log2(a))
+        return power * 1024 + F.floor((a / F.pow(F.lit(2.0), power) - 1) * 1024) + 1
+
+    return F.when(v >= 1, steps(v)).when(v <= -1, -steps(-v)).otherwise(F.lit(0).cast("long"))
 
-    Values are counted first, so the window runs over a group's distinct values only.
+
+def order_statistics(df: DataFrame, keys: list[str], x: str, picks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``keys`` and, for each of ``picks``, the element of a group's sorted values at an index that is a function of their number.
+
+    Values are counted by buckets first (at most 1024 for each power of two of a group's range); only the buckets that hold
+    a wanted index are sorted, so that no task sorts all the values of a group.
     """
-    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("k"))
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_k")).withColumn("_b", _bucket(x))
     whole = Window.partitionBy(*keys)
-    upto = whole.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("n", F.sum("k").over(whole)).withColumn("upto", F.sum("k").over(upto))
+    totals = counts.groupBy(*keys, "_b").agg(F.sum("_k").alias("_n"))
+    upto = totals.withColumn("_all", F.sum("_n").over(whole)).withColumn("_upto", F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), index(F.col("_all")).cast("long").alias("at")) for name, index in picks.items()]))
+    found = upto.select(*keys, "_b", "_upto", "_n", wanted.alias("_w")).where("_w.at < _upto and _w.at >= _upto - _n")
+    found = found.select(*keys, "_b", F.col("_w.name").alias("_name"), (F.col("_w.at") - F.col("_upto") + F.col("_n")).alias("_rest"))
+    own = [F.col(f"_f._{k}") for k in range(len(keys))]
+    aliased = found.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("_b").alias("_fb"), "_name", "_rest").alias("_f")
+    same = reduce(lambda a, b: a & b, [F.col(f"_c.{k}").eqNullSafe(o) for k, o in zip(keys, own, strict=True)], F.col("_c._b") == F.col("_f._fb"))
+    met = counts.alias("_c").join(aliased, same).select(*[F.col(f"_c.{k}") for k in keys], F.col(f"_c.{x}").alias("_x"), "_k", "_name", "_rest")
+    inside = Window.partitionBy(*keys, "_name").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    hit = met.withColumn("_so_far", F.sum("_k").over(inside)).where("_so_far > _rest")
+    return hit.groupBy(*keys).agg(*[F.min(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name in picks])
+
+
+def nearest_rank(df: DataFrame, keys: list[str], x: str, ranks: tuple[float, ...] = RANKS) -> DataFrame:
+    """Element at index min(n - 1, floor(p * n)) of each group's sorted values, for each p; columns p50, p75, ..."""
     name = lambda p: "p" + f"{100 * p:g}".replace(".", "_")
-    picks = [F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))), F.col(x))).alias(name(p)) for p in ranks]
-    return ranked.groupBy(*keys).agg(*picks)
+    return order_statistics(df, keys, x, {name(p): (lambda n, p=p: F.least(n - 1, F.floor(F.lit(p) * n))) for p in ranks})
 
 
-def interpolated(x: str, p: float) -> Column:
-    """Linearly interpolated percentile; p in (0, 1)."""
-    return F.percentile(x, F.lit(p))
+def interpolated(df: DataFrame, keys: list[str], x: str, p: float, name: str) -> DataFrame:
+    """``keys`` and ``name``: the linearly interpolated percentile of each group; p in (0, 1)."""
+    place = lambda n: (n - 1) * F.lit(p)
+    ends = order_statistics(df, keys, x, {"_low": lambda n: F.floor(place(n)), "_high": lambda n: F.ceil(place(n))})
+    sizes = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    at = place(F.col("_n"))
+    between = (F.ceil(at) - at) * F.col("_low") + (at - F.floor(at)) * F.col("_high")
+    both = ends.join(sizes, keys) if keys else ends.crossJoin(F.broadcast(sizes))  # one row
+    return both.select(*keys, F.when(F.col("_low") == F.col("_high"), F.col("_low").cast("double")).otherwise(between).alias(name))
 
 
-def histogram(df: DataFrame, keys: list[str], x: str, bins: int, log: bool = False) -> DataFrame:
-    """(keys, bin, lo, hi, count, time): values between the group's least and largest in ``bins`` bins.
+def binned(df: DataFrame, keys: list[str], x: str, bins: int, log: bool = False) -> DataFrame:
+    """``df`` with bin, lo and hi: the place of a value among ``bins`` bins between its group's least and largest value.
 
     Bin i ends at tmin + (i + 1) * range div bins (``log``: the whole part of ten to evenly spaced exponents); a value on
-    an edge belongs to the next bin; the last bin takes the rest. Bins without values are left out.
+    an edge belongs to the next bin; the last bin takes the rest. A bin is found by division, and its edges put it right.
     """
-    ends = df.groupBy(*keys).agg(F.min(x).alias("tmin"), F.max(x).alias("tmax"))
+    ends = df.groupBy(*keys).agg(F.min(x).alias("_tmin"), F.max(x).alias("_tmax"))
+    joined = df.join(ends, keys) if keys else df.crossJoin(F.broadcast(ends))  # one row
+    v, tmin, span = F.col(x), F.col("_tmin"), F.col("_tmax") - F.col("_tmin")
     if log:
-        low, step = F.log10(F.col("tmin").cast("double")), (F.log10(F.col("tmax").cast("double")) - F.log10(F.col("tmin").cast("double"))) / bins
+        low, high = F.log10(F.col("_tmin").cast("double")), F.log10(F.col("_tmax").cast("double"))
+        step = (high - low) / bins
         edge = lambda i: F.pow(F.lit(10.0), low + i * step).cast("long")
+        guess = F.when(step > 0, F.ceil((F.log10(v.cast("double") + 1) - low) / step) - 1).otherwise(bins - 1)
+    else:
+        edge = lambda i: tmin + F.call_function("div", i * span, F.lit(bins))
+        guess = F.when(span > 0, F.ceil((v - tmin + 1).cast("double") * bins / span) - 1).otherwise(bins - 1)
+    near = F.greatest(F.lit(0), F.least(F.lit(bins - 1), guess)).cast("long")
+    rows = joined.withColumn("_g", near)
+    g = F.col("_g")
+    put = g + F.when((g < bins - 1) & (edge(g + 1) <= v), 1).when((g > 0) & (edge(g) > v), -1).otherwise(0)
+    rows = rows.withColumn("bin", put.cast("int"))
+    at = F.col("bin").cast("long")
+    return rows.withColumns({"lo": F.when(at == 0, tmin).otherwise(edge(at)), "hi": edge(at + 1)}).drop("_tmin", "_tmax", "_g")
+
+
+def histogram(df: DataFrame, keys: list[str], x: str, bins: int, log: bool = False) -> DataFrame:
+    """(keys, bin, lo, hi, count, time): values by bins as of ``binned``. Bins without values are left out."""
+    rows = binned(df.select(*keys, x), keys, x, bins, log)
+    return rows.groupBy(*keys, "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("count"), F.sum(x).alias("time"))
+
+
+def summarised(df: DataFrame, keys: list[str], x: str, bins: int, shown: int = 32, log: bool = False) -> DataFrame:
+    """A histogram of ``bins`` bins put together to ``shown`` ones, for a reader with little room: keys, bin, start, end,
+    count, time of all of them, empty ones too."""
+    few = histogram(df, keys, x, bins, log).withColumn("bin", F.call_function("div", F.col("bin").cast("long") * shown, F.lit(bins)).cast("int"))
+    sums = few.groupBy(*keys, "bin").agg(F.sum("count").alias("count"), F.sum("time").alias("time"))
+    ends = df.groupBy(*keys).agg(F.min(x).alias("_tmin"), F.max(x).alias("_tmax"))
+    all_bins = ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(shown - 1))).alias("bin"))
+    if log:
+        low, high = F.log10(F.col("_tmin").cast("double")), F.log10(F.col("_tmax").cast("double"))
+        edge = lambda i: F.pow(F.lit(10.0), low + i / shown * (high - low)).cast("long")
     else:
-        edge = lambda i: F.col("tmin") + F.expr("0").cast("long") + F.call_function("div", i * (F.col("tmax") - F.col("tmin")), F.lit(bins))
-    edged = ends.withColumn("edges", F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda i: edge(i)))
-    joined = df.select(*keys, x).join(edged, keys) if keys else df.select(x).crossJoin(F.broadcast(edged))  # one row
-    below = F.size(F.filter(F.slice("edges", 1, bins - 1), lambda e: e <= F.col(x)))
-    binned = joined.withColumn("bin", below)
-    found = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"), F.sum(x).alias("time"))
-    back = found.join(edged, keys) if keys else found.crossJoin(F.broadcast(edged))
-    lo = F.when(F.col("bin") == 0, F.col("tmin")).otherwise(F.element_at("edges", F.greatest(F.col("bin"), F.lit(1))))
-    return back.select(*keys, "bin", lo.alias("lo"), F.element_at("edges", F.col("bin") + 1).alias("hi"), "count", "time")
+        edge = lambda i: (F.col("_tmin") + i / shown * (F.col("_tmax") - F.col("_tmin"))).cast("long")
+    place = F.col("bin").cast("double")
+    joined = all_bins.join(sums, [*keys, "bin"], "left")
+    zero = F.lit(0).cast("long")
+    return joined.select(*keys, "bin", edge(place).alias("start"), edge(place + 1).alias("end"), F.coalesce("count", zero).alias("count"), F.coalesce("time", zero).alias("time"))
 
 
 def prefixes(df: DataFrame, path: str) -> DataFrame:

@@ -54,6 +54,35 @@ def test_random_streams_equal_a_stack(spark, steps):
         assert len(up[zone]) == depth + 1 and up[zone][0] == zone and (depth == 0 or up[zone][1] == parent)
 
 
+def test_one_thread_with_all_events_is_cut(spark, monkeypatch):
+    """A hot thread is nested in blocks by default; paths and sums along parents equal a walk."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from spanforge.plans import blocks
+    from spanforge.plans.nesting import along_parents
+
+    rnd = random.Random(1)
+    rows, time = [], 10**18
+    for i in range(3000):
+        time += rnd.randint(0, 3)
+        rows.append(("A", 1, i, time, "begin" if rnd.random() < 0.53 else "end", rnd.randint(0, 2)))
+    events = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(blocks, "HOT", 500)
+    monkeypatch.setattr(blocks, "ROWS", 200)
+    z = nest(events)
+    assert {r.zone_id: (r.depth, r.parent_id, r.end, r.reentrant) for r in z.collect()} == stack_machine(rows)
+    tree = {r.zone_id: (r.parent_id, r.srcloc, r.depth) for r in z.collect()}
+
+    def path(zone):
+        parent, loc, _ = tree[zone]
+        return ([] if parent is None else path(parent)) + [str(loc)]
+
+    got = {r.zone_id: r.path for r in along_parents(z, F.col("srcloc").cast("string"), lambda a, b: F.concat_ws("/", a, b), "path").collect()}
+    assert got == {zone: "/".join(path(zone)) for zone in tree} and max(d for _, _, d in tree.values()) > 40
+
+
 def test_self_time_and_parent(spark):
     rows = {r.name: r for r in zones(spark, (1, "B", 0, 0), (1, "B", 1, 2), (1, "E", 1, 5), (1, "E", 0, 10)).collect()}
     assert rows["s0"].self_time == 7 and rows["s1"].self_time == 3

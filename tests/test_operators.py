@@ -16,7 +16,51 @@ from spanforge.plans.intervals import as_of, covering, overlapping
 def test_two_percentile_rules(spark):
     df = spark.createDataFrame([(i,) for i in range(1, 11)], "dur long")
     assert stats.nearest_rank(df, [], "dur", (0.9,)).first().p90 == 10
-    assert abs(df.agg(stats.interpolated("dur", 0.9)).first()[0] - 9.1) < 1e-9
+    assert abs(stats.interpolated(df, [], "dur", 0.9, "p").first().p - 9.1) < 1e-9
+
+
+def test_order_statistics_equal_sorting(spark):
+    rnd = random.Random(5)
+    groups = {"wide": [rnd.randint(-(1 << 60), 1 << 60) for _ in range(300)], "same": [7] * 50, "near": [(1 << 50) + rnd.randint(0, 40) for _ in range(300)], "small": [rnd.randint(-3, 3) for _ in range(90)], "one": [5], None: [2, 1, 2]}
+    df = spark.createDataFrame([(g, v) for g, x in groups.items() for v in x] + [("one", None), ("none", None)], "g string, v long")
+    got = {r.g: r for r in stats.nearest_rank(df, ["g"], "v").collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        x = sorted(x)
+        assert [got[g][c] for c in ("p50", "p75", "p90", "p99", "p99_9")] == [x[min(len(x) - 1, int(p * len(x)))] for p in stats.RANKS]
+
+
+def test_bins_equal_a_scan_of_edges(spark):
+    rnd = random.Random(6)
+    groups = {"a": [rnd.randint(1, 40) for _ in range(60)], "b": [10 ** rnd.randint(0, 15) + rnd.randint(0, 9) for _ in range(200)], "c": [5, 5], "d": [3, 4, 6]}
+    df = spark.createDataFrame([(g, v) for g, x in groups.items() for v in x], "g string, v long")
+    for bins in (1, 7, 32, 500):
+        for r in stats.binned(df, ["g"], "v", bins).collect():
+            low, span = min(groups[r.g]), max(groups[r.g]) - min(groups[r.g])
+            edges = [low + i * span // bins for i in range(bins + 1)]
+            assert (r.bin, r.lo, r.hi) == (k := sum(e <= r.v for e in edges[1:bins]), edges[k], edges[k + 1])
+        logs = stats.binned(df, ["g"], "v", bins, log=True).collect()
+        assert all((r.lo <= r.v or r.bin == 0) and (r.v < r.hi or r.bin == bins - 1) for r in logs)
+
+
+def test_hot_keys_are_cut_by_their_rows(spark, monkeypatch):
+    """Sums, minima and neighbours of a key in blocks equal those of a plain window, whatever the unit of time."""
+    from spanforge.plans import blocks
+
+    rnd = random.Random(7)
+    rows = [("a" if rnd.random() < 0.9 else "b", rnd.randint(0, 200), i, rnd.randint(-5, 5) or None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t long, seq long, v long")
+    args = (["k"], ["t", "seq"])
+    forms = {
+        "sum": lambda: blocks.running_sum(df, *args, F.col("v"), "x"), "min": lambda: blocks.running_min(df, *args, "v", "x"), "last": lambda: blocks.last_before(df, *args, "v", "x"), "before": lambda: blocks.previous(df.fillna(0), *args, "v", "x"),
+    }
+    plain = {n: sorted(map(str, f().collect())) for n, f in forms.items()}
+    assert blocks.block_width(df, ["k"], "t") is None
+    monkeypatch.setattr(blocks, "HOT", 50)
+    monkeypatch.setattr(blocks, "ROWS", 20)
+    assert 5 <= blocks.block_width(df, ["k"], "t") <= 20
+    for n, f in forms.items():
+        assert sorted(map(str, f().collect())) == plain[n], n
 
 
 def test_histogram_counts_add_up(spark):
