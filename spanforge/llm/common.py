@@ -8,11 +8,11 @@ import functools
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StringType, StructType
 
 from ..sources.scratch import cut, cut_to, drop, shared_path
 
-__all__ = ["bounded_side", "cut", "cut_to", "documents", "drop_tables", "located", "locator", "shared_path", "short_batches", "trimmed", "without_rows", "word_count"]
+__all__ = ["bounded_side", "cut", "cut_to", "documents", "drop_tables", "is_broadcast", "located", "locator", "shared_path", "short_batches", "trimmed", "without_rows", "word_count"]
 
 #: A side with at most this many rows and bytes may be broadcast; above either the join is shuffled.
 BROADCAST_KEYS, BROADCAST_BYTES = 200_000, 8 << 20
@@ -70,7 +70,7 @@ def _bytes(column: Column, kind: DataType) -> Column:
     if isinstance(kind, ArrayType):
         if isinstance(kind.elementType, StringType | BinaryType | ArrayType | StructType):
             raise TypeError(f"the size of {kind.simpleString()} isn't counted")
-        return F.greatest(F.size(column), F.lit(0)) * 8 + 24
+        return F.greatest(F.size(column), F.lit(0)) * (4 if isinstance(kind.elementType, IntegerType) else 8) + 24
     if isinstance(kind, StructType):
         return functools.reduce(lambda a, b: a + b, [_bytes(column[f.name], f.dataType) for f in kind.fields], F.lit(8))
     return F.lit(8)
@@ -86,6 +86,11 @@ def bounded_side(df: DataFrame, limit: int = BROADCAST_KEYS, most_bytes: int = B
     return F.broadcast(df) if n <= limit and total <= most_bytes else df
 
 
+def is_broadcast(df: DataFrame) -> bool:
+    """Whether ``bounded_side`` has found that ``df`` may be broadcast."""
+    return df._jdf.queryExecution().logical().nodeName() in ("ResolvedHint", "UnresolvedHint")
+
+
 def short_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts go to Python in batches of this many rows at most: the usual 10,000 whole texts, held by the JVM and by the
     worker, would take hundreds of megabytes. The session keeps a smaller setting of its own."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline as C
+import pytest
 from test_corpus import brute_components
 
 from spanforge.llm.common import cut, documents
@@ -37,3 +38,22 @@ def test_stages(spark, sf_dir):
             assert out.count() == len(before) and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         docs, before = out, after
     assert [n for n, _ in C.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "mixing sources", "BPE encoding and decoding"]
+
+
+@pytest.mark.parametrize("rows", [[], [(i, None) for i in range(5)], [(1, "a b c d e f g")] * 3 + [(1, "a b c d e f g h"), (None, "x"), (None, None), (2, "")]], ids=["empty", "nulls", "repeated ids"])
+def test_stages_of_odd_tables(spark, docs_of, tmp_path, rows):
+    """Empty tables, tables of null texts, and repeated and null ids pass through all stages."""
+    docs = docs_of(rows)
+    docs.write.parquet(f"{tmp_path}/sf/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").where("false").write.parquet(f"{tmp_path}/sf/labels.parquet")
+    before = sorted((str(r.doc_id), r.text or "") for r in docs.collect())
+    out = docs
+    for k, (name, stage) in enumerate(C.STAGES):
+        out = cut(stage(spark, out, f"{tmp_path}/sf"), f"odd-{k}")
+        if k + 1 < len(C.STAGES):
+            assert out.columns == docs.columns, name
+            after = sorted((str(r.doc_id), r.text or "") for r in out.collect())
+            assert set(after) <= set(before) and (k or after == before)  # without labels no document is rejected
+        if k == 1:
+            assert len(after) == len({t for _, t in before})
+    assert C.run(spark, f"{tmp_path}/sf").count() == out.count()
