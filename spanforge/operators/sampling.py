@@ -11,8 +11,8 @@ from ..plans.stats import prefixes
 
 
 def intern(samples: DataFrame) -> DataFrame:
-    """Distinct frame arrays with a stable number, the hash of the array."""
-    return samples.select("capture_id", F.xxhash64("frames").alias("callstack"), "frames").dropDuplicates(["capture_id", "callstack"])
+    """Distinct frame arrays with a stable number, the hash of the array; arrays are told apart by their frames."""
+    return samples.select("capture_id", F.xxhash64("frames").alias("callstack"), "frames").dropDuplicates(["capture_id", "frames"])
 
 
 def without_switch_samples(samples: DataFrame, switches: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 
 def _class_of(length: Column) -> Column:
     """Power of two (exponent) that is at least a length: intervals of one class meet at most two buckets of that size."""
@@ -33,6 +35,7 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
 
     Two spans overlap if one starts inside the other, so two point joins find each pair once.
     """
+    left, right = cut(left, "spans"), cut(right, "spans")  # each is read twice
     l_cols, r_cols = [c for c in left.columns if c not in keys], [c for c in right.columns if c not in keys]
     starts_left = covering(right.withColumn("t", F.col("r_start")), left, keys).select(*keys, *l_cols, *r_cols)
     inner = right.withColumnRenamed("r_start", "_s").withColumnRenamed("r_end", "_e")

@@ -91,7 +91,7 @@ def with_effective_end(zones: DataFrame) -> DataFrame:
 
 def with_self_time(zones: DataFrame) -> DataFrame:
     """``dur`` (inclusive) and ``self_time`` (without closed direct children) of every zone; null while open."""
-    zones = zones.withColumn("dur", F.col("end") - F.col("start"))
+    zones = cut(zones.withColumn("dur", F.col("end") - F.col("start")), "zones")  # read twice below: nested once
     spent = zones.where("dur is not null and parent_id is not null").groupBy("capture_id", F.col("parent_id").alias("zone_id")).agg(F.sum(F.greatest("dur", F.lit(0))).alias("below"))
     joined = zones.join(spent, ["capture_id", "zone_id"], "left")
     return joined.withColumn("self_time", F.col("dur") - F.coalesce("below", F.lit(0))).drop("below")
