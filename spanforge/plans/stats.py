@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 RANKS = (0.5, 0.75, 0.9, 0.99, 0.999)
 
 
@@ -40,42 +42,41 @@ def _bucket(x: str) -> Column:
 
 
 def order_statistics(df: DataFrame, keys: list[str], x: str, picks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """``keys`` and, for each of ``picks``, the element of a group's sorted values at an index that is a function of their number.
+    """``keys``, n_values and, for each of ``picks``, the element of a group's sorted values at an index that is a function of
+    their number.
 
     Values are counted by buckets first (at most 1024 for each power of two of a group's range); only the buckets that hold
     a wanted index are sorted, so that no task sorts all the values of a group.
     """
-    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_k")).withColumn("_b", _bucket(x))
+    counts = cut(df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_k")).withColumn("_b", _bucket(x)), "counts")
     whole = Window.partitionBy(*keys)
     totals = counts.groupBy(*keys, "_b").agg(F.sum("_k").alias("_n"))
     upto = totals.withColumn("_all", F.sum("_n").over(whole)).withColumn("_upto", F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), index(F.col("_all")).cast("long").alias("at")) for name, index in picks.items()]))
-    found = upto.select(*keys, "_b", "_upto", "_n", wanted.alias("_w")).where("_w.at < _upto and _w.at >= _upto - _n")
-    found = found.select(*keys, "_b", F.col("_w.name").alias("_name"), (F.col("_w.at") - F.col("_upto") + F.col("_n")).alias("_rest"))
+    found = upto.select(*keys, "_b", "_upto", "_n", "_all", wanted.alias("_w")).where("_w.at < _upto and _w.at >= _upto - _n")
+    found = found.select(*keys, "_b", "_all", F.col("_w.name").alias("_name"), (F.col("_w.at") - F.col("_upto") + F.col("_n")).alias("_rest"))
     own = [F.col(f"_f._{k}") for k in range(len(keys))]
-    aliased = found.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("_b").alias("_fb"), "_name", "_rest").alias("_f")
+    aliased = found.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("_b").alias("_fb"), "_all", "_name", "_rest").alias("_f")
     same = reduce(lambda a, b: a & b, [F.col(f"_c.{k}").eqNullSafe(o) for k, o in zip(keys, own, strict=True)], F.col("_c._b") == F.col("_f._fb"))
-    met = counts.alias("_c").join(aliased, same).select(*[F.col(f"_c.{k}") for k in keys], F.col(f"_c.{x}").alias("_x"), "_k", "_name", "_rest")
+    met = counts.alias("_c").join(aliased, same).select(*[F.col(f"_c.{k}") for k in keys], F.col(f"_c.{x}").alias("_x"), "_k", "_all", "_name", "_rest")
     inside = Window.partitionBy(*keys, "_name").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     hit = met.withColumn("_so_far", F.sum("_k").over(inside)).where("_so_far > _rest")
-    return hit.groupBy(*keys).agg(*[F.min(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name in picks])
+    return hit.groupBy(*keys).agg(F.first("_all").alias("n_values"), *[F.min(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name in picks])
 
 
 def nearest_rank(df: DataFrame, keys: list[str], x: str, ranks: tuple[float, ...] = RANKS) -> DataFrame:
     """Element at index min(n - 1, floor(p * n)) of each group's sorted values, for each p; columns p50, p75, ..."""
     name = lambda p: "p" + f"{100 * p:g}".replace(".", "_")
-    return order_statistics(df, keys, x, {name(p): (lambda n, p=p: F.least(n - 1, F.floor(F.lit(p) * n))) for p in ranks})
+    return order_statistics(df, keys, x, {name(p): (lambda n, p=p: F.least(n - 1, F.floor(F.lit(p) * n))) for p in ranks}).drop("n_values")
 
 
 def interpolated(df: DataFrame, keys: list[str], x: str, p: float, name: str) -> DataFrame:
     """``keys`` and ``name``: the linearly interpolated percentile of each group; p in (0, 1)."""
     place = lambda n: (n - 1) * F.lit(p)
     ends = order_statistics(df, keys, x, {"_low": lambda n: F.floor(place(n)), "_high": lambda n: F.ceil(place(n))})
-    sizes = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    at = place(F.col("_n"))
+    at = place(F.col("n_values"))
     between = (F.ceil(at) - at) * F.col("_low") + (at - F.floor(at)) * F.col("_high")
-    both = ends.join(sizes, keys) if keys else ends.crossJoin(F.broadcast(sizes))  # one row
-    return both.select(*keys, F.when(F.col("_low") == F.col("_high"), F.col("_low").cast("double")).otherwise(between).alias(name))
+    return ends.select(*keys, F.when(F.col("_low") == F.col("_high"), F.col("_low").cast("double")).otherwise(between).alias(name))
 
 
 def binned(df: DataFrame, keys: list[str], x: str, bins: int, log: bool = False) -> DataFrame:
@@ -131,5 +132,5 @@ def summarised(df: DataFrame, keys: list[str], x: str, bins: int, shown: int = 3
 def prefixes(df: DataFrame, path: str) -> DataFrame:
     """A row for every non-empty prefix of the array ``path``, as ``prefix`` with its length ``depth``: one pass makes all
     the levels of a tree."""
-    cut = F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.slice(F.col(path), F.lit(1), i))
-    return df.where(F.size(path) > 0).select("*", F.explode(cut).alias("prefix")).withColumn("depth", F.size("prefix"))
+    heads = F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.slice(F.col(path), F.lit(1), i))
+    return df.where(F.size(path) > 0).select("*", F.explode(heads).alias("prefix")).withColumn("depth", F.size("prefix"))
