@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_side, cut_to, drop_tables, located, shared_path, without_rows
+from .common import bounded_side, cut_to, drop_tables, is_broadcast, located, shared_path, without_rows
 
 #: State on disk: no preallocated files (megabytes for each partition of small state), native memory with a bound for all
 #: partitions of an executor, and none of it held once a batch is committed.
@@ -40,6 +40,8 @@ STATE_STORE = {
 _SHARED = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.session.timeZone")
 #: Digests (of about 50 bytes) that one batch of the stream takes at most.
 BATCH_BYTES = 1 << 30
+#: The states of digests that more rows have go to the rows; so many rows don't go to one task.
+HOT_GROUP = 100_000
 
 
 def sha256_digest(text: Column) -> Column:
@@ -116,6 +118,15 @@ def _content(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return rows.join(texts, (F.col("at.file") == F.col("_sf_file")) & (F.col("at.row") == F.col("_sf_row"))).select("digest", "at", "text")
 
 
+def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """``rows`` with the state of their digest."""
+    hot = bounded_side(state.where(F.col("group_size") > HOT_GROUP))
+    if not is_broadcast(hot) or not hot.limit(1).count():
+        return rows.join(state, "digest")
+    rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(state.where(F.col("group_size") <= HOT_GROUP), "digest")
+    return rows.join(hot, "digest").unionByName(rest)
+
+
 def classify(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest, store: str | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per row of ``docs`` (with ``store``: of all documents that it has met): doc_id, file, row (its locator),
     digest, keep_id, group_size, kept.
@@ -156,7 +167,7 @@ def classify(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest
         fresh.select(F.col("at.file").alias("_sf_file")).distinct().write.mode("append").parquet(place.checked)
         differ = _read(spark, place.differ, clashes.schema).distinct()
 
-    joined = staged.join(state.drop("first"), "digest")
+    joined = _with_state(staged, state.drop("first"))
     if differ.limit(1).count():
         clash = keyed.join(differ, "digest", "left_semi") if store is None else _content(spark, staged.join(differ, "digest", "left_semi"))
         classes = clash.groupBy("digest", "text").agg(F.max("at").alias("keeper"), F.count(F.lit(1)).alias("group_size"))

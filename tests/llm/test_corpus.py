@@ -26,6 +26,15 @@ def test_largest_id_stays(docs_of):
     assert got == {(1, 5, 4, False), (5, 5, 4, True), (3, 5, 4, False), (None, 5, 4, False), (2, 9, 2, False), (9, 9, 2, True), (4, 4, 1, True), (None, None, 1, True)}
 
 
+def test_hot_groups_are_split(docs_of, monkeypatch):
+    """Groups whose states go to the rows give the same as others."""
+    rows = [(i, "hot" if i % 3 else f"t{i % 5}") for i in range(60)] + [(None, "hot"), (3, None), (4, "")]
+    as_rows = lambda: sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.report(docs_of(rows)).collect()), key=str)
+    plain = as_rows()
+    monkeypatch.setattr(exact_dedup, "HOT_GROUP", 3)
+    assert as_rows() == plain and {g for _, _, g, _ in plain} >= {41, 4, 2}
+
+
 def test_rows_with_one_id_leave_one(docs_of):
     docs = docs_of([(1, "a")] * 4 + [(1, "b")])
     assert sorted(r.text for r in exact_dedup.deduplicate(docs).collect()) == ["a", "b"]
