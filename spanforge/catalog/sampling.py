@@ -9,6 +9,7 @@ from ..operators import gpu as G
 from ..operators import sampling as S
 from ..operators import trace as T
 from ..operators.zones import running
+from ..plans.stats import fitted, total
 from ..sources import adapters as A
 from .base import CTES, query
 from .zones import POOLED, SINCE, UNTIL, zones
@@ -214,12 +215,12 @@ def _(spark, sf_dir):
 
 @query("q128_gpu_zone_stats", f"WITH g AS (SELECT name, gpu_end - gpu_start AS dur FROM gz) SELECT name, {POOLED} FROM g WHERE dur > 0 GROUP BY name", "gz")
 def _(spark, sf_dir):
-    return G.statistics(gpu(spark, sf_dir))
+    return fitted(G.statistics(gpu(spark, sf_dir)), "total")
 
 
 @query("q128_gpu_child_stats", f"WITH g AS (SELECT *, gpu_end - gpu_start AS dur FROM gz) SELECT name, {POOLED} FROM g WHERE dur IS NOT NULL AND parent_id IN (SELECT gpu_zone_id FROM g WHERE name = 'view' AND dur IS NOT NULL) GROUP BY name", "gz")
 def _(spark, sf_dir):
-    return G.child_statistics(gpu(spark, sf_dir), "view")
+    return fitted(G.child_statistics(gpu(spark, sf_dir), "view"), "total")
 
 
 @query("q128_gpu_occurrences", 'SELECT gpu_start AS start, gpu_end AS "end", gpu_end - gpu_start AS dur FROM gz WHERE name = \'click\' AND gpu_end IS NOT NULL ORDER BY gpu_start, gpu_zone_id', "gz")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..operators import zones as Z
 from ..plans.nesting import nest_blocks, with_effective_end, with_self_time
+from ..plans.stats import fitted
 from ..sources import adapters as A
 from .base import CTES, query
 
@@ -127,22 +128,22 @@ def _(spark, sf_dir):
 
 @query("q26_zone_stats", f"SELECT srcloc, {POOLED} FROM z WHERE dur > 0 GROUP BY srcloc", "z")
 def _(spark, sf_dir):
-    return Z.statistics(zones(spark, sf_dir), "srcloc")
+    return fitted(Z.statistics(zones(spark, sf_dir), "srcloc"), "total")
 
 
 @query("q27_all_zone_stats", f"SELECT name, {POOLED} FROM z WHERE dur > 0 GROUP BY name", "z")
 def _(spark, sf_dir):
-    return Z.statistics(zones(spark, sf_dir), "name")
+    return fitted(Z.statistics(zones(spark, sf_dir), "name"), "total")
 
 
 @query("q28_root_zone_stats", f"SELECT name, {POOLED} FROM z WHERE parent_id IS NULL AND dur IS NOT NULL GROUP BY name", "z")
 def _(spark, sf_dir):
-    return Z.root_statistics(zones(spark, sf_dir))
+    return fitted(Z.root_statistics(zones(spark, sf_dir)), "total")
 
 
 @query("q29_child_zone_stats", f"SELECT name, {POOLED} FROM z WHERE dur IS NOT NULL AND parent_id IN (SELECT zone_id FROM z WHERE name = 'view' AND dur IS NOT NULL) GROUP BY name", "z")
 def _(spark, sf_dir):
-    return Z.child_statistics(zones(spark, sf_dir), "view")
+    return fitted(Z.child_statistics(zones(spark, sf_dir), "view"), "total")
 
 
 @query(
@@ -269,7 +270,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     given = F.when(F.col("callstack") == 3, F.concat(F.lit("named "), F.col("thread") % 5))
     z = Z.named(with_self_time(A.zones(spark, sf_dir).withColumn("name_override", given)), A.source_locations(spark))
-    return Z.statistics(z, "zone_name", "name").select("zone_name", "name", "count", "total")
+    return fitted(Z.statistics(z, "zone_name", "name").select("zone_name", "name", "count", "total"), "total")
 
 
 @query("q21f_kernel_frames", "SELECT DISTINCT f AS sym_addr, f - 1000 < 0 AS kernel FROM (SELECT unnest(frames) AS f FROM st)", "st")

@@ -19,9 +19,22 @@ def sum_sq(x: str) -> Column:
     return F.sum(v * v).cast("double")
 
 
+def total(x: str | Column) -> Column:
+    """Sum of whole numbers, exact beyond the range of a long: a decimal, which ``fitted`` makes a long where it is one."""
+    return F.sum((F.col(x) if isinstance(x, str) else x).cast("decimal(19,0)"))
+
+
+def fitted(df: DataFrame, *totals: str) -> DataFrame:
+    """``df``, written first, with those of its ``totals`` as long that are in the range of one in all rows; the others stay
+    decimals."""
+    rows = cut(df, "totals")
+    beyond = rows.agg(*[F.max(F.abs(c) > (1 << 63) - 1).alias(c) for c in totals]).first()
+    return rows.withColumns({c: F.col(c).cast("long") for c in totals if not beyond[c]})
+
+
 def pooled(x: str = "dur") -> list[Column]:
     """min, max, total, sum_sq, count, avg: what a client needs to pool results."""
-    return [F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x).alias("total"), sum_sq(x).alias("sum_sq"), F.count(x).alias("count"), (F.sum(x) / F.count(x)).alias("avg")]
+    return [F.min(x).alias("min"), F.max(x).alias("max"), total(x).alias("total"), sum_sq(x).alias("sum_sq"), F.count(x).alias("count"), (total(x).cast("double") / F.count(x)).alias("avg")]
 
 
 def deviation(total: Column, squares: Column, n: Column, mean: Column) -> Column:
