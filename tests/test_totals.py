@@ -9,7 +9,7 @@ import pytest
 from spanforge.catalog import ORACLES, QUERIES
 from spanforge.plans.stats import fitted, total
 
-QUERIES_OF_TOTALS = "q26_zone_stats q27_all_zone_stats".split()
+QUERIES_OF_TOTALS = "q26_zone_stats q27_all_zone_stats q21e_zone_names".split()
 
 
 @pytest.fixture(scope="module")
