@@ -108,12 +108,12 @@ SELECT coalesce(name, function) AS name, file AS src_file, line AS src_line, tot
 
 @query("q24_csv_aggregate", _csv("dur"), "zs", "loc", "lastt")
 def _(spark, sf_dir):
-    return Z.csv_aggregate(zones(spark, sf_dir), A.last_time(spark, sf_dir))
+    return fitted(Z.csv_aggregate(zones(spark, sf_dir), A.last_time(spark, sf_dir)), "total_ns")
 
 
 @query("q24_csv_aggregate_self", _csv("self_time"), "zs", "loc", "lastt")
 def _(spark, sf_dir):
-    return Z.csv_aggregate(zones(spark, sf_dir), A.last_time(spark, sf_dir), own=True)
+    return fitted(Z.csv_aggregate(zones(spark, sf_dir), A.last_time(spark, sf_dir), own=True), "total_ns")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import RangeRule, in_range, zone_name
 from ..plans.intervals import covering, overlapping
 from ..plans.nesting import along_parents
-from ..plans.stats import deviation, interpolated, pooled, sum_sq
+from ..plans.stats import deviation, interpolated, pooled, sum_sq, total
 
 
 
@@ -32,7 +32,7 @@ def csv_aggregate(zones: DataFrame, last_time: int, own: bool = False) -> DataFr
     ``own``: of self times, squares included."""
     x = "self_time" if own else "dur"
     rows = counted(zones).groupBy("srcloc", "name", "file", "line").agg(
-        F.sum(x).alias("total_ns"), F.count(F.lit(1)).alias("counts"), F.min(x).alias("min_ns"), F.max(x).alias("max_ns"), sum_sq(x).alias("sq")
+        total(x).alias("total_ns"), F.count(F.lit(1)).alias("counts"), F.min(x).alias("min_ns"), F.max(x).alias("max_ns"), sum_sq(x).alias("sq")
     )
     mean = F.call_function("div", F.col("total_ns"), F.col("counts"))
     rows = rows.withColumn("mean_ns", mean).withColumn("total_perc", F.col("total_ns") * F.lit(100.0) / F.lit(last_time))
