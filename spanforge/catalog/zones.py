@@ -179,17 +179,17 @@ for _mode, _total, _where in (("self", "self_time", ""), ("children", "dur", "")
 
     @query(f"q33_statistics_{_mode}", f"SELECT srcloc, coalesce(loc.name, function) AS name, file, line, count(DISTINCT thread) AS threads, count(*) AS count, CAST(sum({_total}) AS BIGINT) AS total FROM zs JOIN loc USING (srcloc) WHERE dur > 0 {_where} GROUP BY ALL", "zs", "loc")
     def _(spark, sf_dir, mode=_mode):
-        return Z.accumulated(zones(spark, sf_dir), mode)
+        return fitted(Z.accumulated(zones(spark, sf_dir), mode), "total")
 
 
 @query("q34_statistics_range", f"SELECT srcloc, coalesce(loc.name, function) AS name, file, line, count(DISTINCT thread) AS threads, count(*) AS count, CAST(sum(dur) AS BIGINT) AS total FROM zs JOIN loc USING (srcloc) WHERE dur > 0 AND start >= {SINCE} AND stop <= {UNTIL} GROUP BY ALL", "zs", "loc")
 def _(spark, sf_dir):
-    return Z.accumulated(zones(spark, sf_dir), "children", (SINCE, UNTIL))
+    return fitted(Z.accumulated(zones(spark, sf_dir), "children", (SINCE, UNTIL)), "total")
 
 
 @query("q35_statistics_sorted", "SELECT srcloc, coalesce(loc.name, function) AS name, file, line, count(DISTINCT thread) AS threads, count(*) AS count, CAST(sum(dur) AS BIGINT) AS total FROM zs JOIN loc USING (srcloc) WHERE dur > 0 GROUP BY ALL ORDER BY total / count DESC, srcloc", "zs", "loc")
 def _(spark, sf_dir):
-    return Z.ordered(Z.accumulated(zones(spark, sf_dir), "children"), "mean")
+    return Z.ordered(fitted(Z.accumulated(zones(spark, sf_dir), "children"), "total"), "mean")
 
 
 @query("q37_nonreentrant_stats", "SELECT srcloc, count(*) AS count, min(dur) AS min, max(dur) AS max, CAST(sum(dur) AS BIGINT) AS total FROM zr WHERE dur > 0 AND NOT reentrant GROUP BY srcloc", "zr")

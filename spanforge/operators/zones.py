@@ -99,12 +99,12 @@ def accumulated(zones: DataFrame, mode: str, rule: tuple[int, int] | None = None
         rows = rows.where(in_range(RangeRule.CONTAINED, F.col("start"), F.col("end"), *rule))
     if mode == "nonreentrant":
         rows = rows.where(~F.col("reentrant"))
-    total = F.sum("self_time" if mode == "self" else "dur")
-    return rows.groupBy("srcloc", "name", "file", "line").agg(F.countDistinct("thread").alias("threads"), F.count(F.lit(1)).alias("count"), total.alias("total"))
+    spent = total("self_time" if mode == "self" else "dur")
+    return rows.groupBy("srcloc", "name", "file", "line").agg(F.countDistinct("thread").alias("threads"), F.count(F.lit(1)).alias("count"), spent.alias("total"))
 
 
 def ordered(stats: DataFrame, key: str = "total", descending: bool = True) -> DataFrame:
-    keys: dict[str, list[Column]] = {"name": [F.col("name")], "location": [F.col("file"), F.col("line")], "total": [F.col("total")], "count": [F.col("count")], "mean": [F.col("total") / F.col("count")], "threads": [F.col("threads")]}
+    keys: dict[str, list[Column]] = {"name": [F.col("name")], "location": [F.col("file"), F.col("line")], "total": [F.col("total")], "count": [F.col("count")], "mean": [F.col("total").cast("double") / F.col("count")], "threads": [F.col("threads")]}
     return stats.orderBy(*[c.desc() if descending else c.asc() for c in keys[key]], "srcloc")
 
 
