@@ -9,7 +9,7 @@ import pytest
 from spanforge.catalog import ORACLES, QUERIES
 from spanforge.plans.stats import fitted, total
 
-QUERIES_OF_TOTALS = "q26_zone_stats q27_all_zone_stats q21e_zone_names q28_root_zone_stats q128_gpu_zone_stats q24_csv_aggregate q12_csv_export q33_statistics_children".split()
+QUERIES_OF_TOTALS = "q26_zone_stats q27_all_zone_stats q21e_zone_names q28_root_zone_stats q128_gpu_zone_stats q24_csv_aggregate q12_csv_export q33_statistics_children q35_statistics_sorted".split()
 
 
 @pytest.fixture(scope="module")
