@@ -206,7 +206,7 @@ for _x, _col in (("inclusive", "dur"), ("exclusive", "self_time")):
 
     @query(f"q39_child_distribution_{_x}", f"SELECT zs.name, CAST(sum({_col}) AS BIGINT) AS time, count(*) AS count FROM zs JOIN anc USING (zone_id) WHERE aname = 'view' AND astop IS NOT NULL AND dur IS NOT NULL GROUP BY zs.name", "zs", "anc")
     def _(spark, sf_dir, x=_x):
-        return Z.descendants(zones(spark, sf_dir), "view", x == "exclusive")
+        return fitted(Z.descendants(zones(spark, sf_dir), "view", x == "exclusive"), "time")
 
 
 @query("q40_children_grouped", "SELECT c.parent_id, c.name, count(*) AS count, CAST(sum(c.dur) AS BIGINT) AS time, CAST(sum(c.dur) AS BIGINT) * 100.0::DOUBLE / min(p.dur) AS share FROM z c JOIN z p ON c.parent_id = p.zone_id WHERE p.dur > 0 AND c.dur IS NOT NULL GROUP BY c.parent_id, c.name", "z")

@@ -123,7 +123,7 @@ def descendants(zones: DataFrame, zone_name: str, exclusive: bool = False) -> Da
     top = F.when((F.col("name") == zone_name) & F.col("end").isNotNull(), 1).otherwise(0).cast("long")
     held = along_parents(zones, top, lambda above, below: above + below, "_tops")
     rows = zones.where("dur is not null").join(held, ["capture_id", "zone_id"]).withColumn("_tops", F.col("_tops") - top).where("_tops > 0")
-    return rows.groupBy("name").agg(F.sum(F.col("self_time" if exclusive else "dur") * F.col("_tops")).alias("time"), F.sum("_tops").alias("count"))
+    return rows.groupBy("name").agg(F.sum(F.col("self_time" if exclusive else "dur").cast("decimal(19,0)") * F.col("_tops").cast("decimal(10,0)")).alias("time"), F.sum("_tops").alias("count"))
 
 
 def children(zones: DataFrame) -> DataFrame:
