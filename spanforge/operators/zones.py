@@ -135,7 +135,7 @@ def children(zones: DataFrame) -> DataFrame:
 
 def share_of_mean(zones: DataFrame) -> DataFrame:
     rows = counted(zones)
-    whole = rows.groupBy("srcloc").agg(F.sum("dur").alias("_total"), F.count(F.lit(1)).alias("_n"))
+    whole = rows.groupBy("srcloc").agg(total("dur").cast("double").alias("_total"), F.count(F.lit(1)).alias("_n"))
     return rows.join(whole, "srcloc").select("zone_id", "name", "dur", (F.col("dur") / F.col("_total") * F.col("_n") * 100.0).alias("share"))
 
 
