@@ -47,7 +47,7 @@ def truncated(zones: DataFrame, percentile: float = 90, own: bool = False) -> Da
     rows = counted(zones)
     ends = interpolated(rows, ["srcloc"], x, p, "limit")
     kept = rows.join(ends, "srcloc").where(F.col(x) <= F.col("limit"))
-    out = kept.groupBy("srcloc", "name").agg(F.first("limit").alias("limit"), F.call_function("div", F.sum(x), F.count(F.lit(1))).alias("truncated_mean_ns"))
+    out = kept.groupBy("srcloc", "name").agg(F.first("limit").alias("limit"), F.call_function("div", total(x), F.count(F.lit(1))).alias("truncated_mean_ns"))
     return out.select("srcloc", "name", F.round("limit").cast("long").alias("percentile_ns"), "truncated_mean_ns")
 
 
