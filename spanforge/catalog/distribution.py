@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import findzone as Z
 from ..plans.nesting import with_self_time
-from ..plans.stats import histogram, summarised
+from ..plans.stats import fitted, histogram, summarised
 from ..operators.zones import named, running
 from ..sources import adapters as A
 from .base import CTES, query
@@ -53,7 +53,7 @@ def _(spark, sf_dir):
 
 @query("q43_percentiles", f"SELECT name, {dist()} FROM z WHERE dur > 0 GROUP BY name", "z")
 def _(spark, sf_dir):
-    return Z.distribution(zones(spark, sf_dir), ["name"])
+    return fitted(Z.distribution(zones(spark, sf_dir), ["name"]), "total")
 
 
 @query("q44_mode", "SELECT name, (arg_max(lo, (count, -bin)) + arg_max(hi, (count, -bin))) // 2 AS mode FROM hist GROUP BY name", "hist")
@@ -117,7 +117,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     z = zones(spark, sf_dir)
     run = running(z, A.context_switches(spark, sf_dir)).select("zone_id", F.col("running").alias("x"))
-    return Z.distribution(z.select("zone_id", "name").join(run, "zone_id"), ["name"], "x")
+    return fitted(Z.distribution(z.select("zone_id", "name").join(run, "zone_id"), ["name"], "x"), "total")
 
 
 @query("q53_sampled_symbols", "SELECT frames[1] AS symbol, count(*) AS count FROM st WHERE EXISTS (SELECT 1 FROM z WHERE z.thread = st.thread AND z.start <= st.time AND st.time < z.stop AND z.name = 'click') GROUP BY 1", "st", "z")
@@ -159,7 +159,7 @@ _side = f"s AS (SELECT cap, name, {dist()} FROM z2 WHERE dur > 0 GROUP BY cap, n
 
 @query("q56_side_by_side", f"WITH {_side} SELECT a.name, {', '.join(f'a.{c} AS this_{c}, b.{c} AS other_{c}' for c in _cols)}, a.mean / b.mean AS factor, a.mean - b.mean AS difference, CASE WHEN a.mean / b.mean < 1 THEN 'less' ELSE 'more' END AS verdict FROM s a JOIN s b ON a.name = b.name AND a.cap = 'A' AND b.cap = 'B'", "z2")
 def _(spark, sf_dir):
-    return Z.side_by_side(two(spark, sf_dir), "A", "B")
+    return fitted(Z.side_by_side(two(spark, sf_dir), "A", "B"), "this_total", "other_total")
 
 
 @query("q57_speed_up", f"WITH {_side} SELECT a.name, a.mean / b.mean AS factor, CASE WHEN a.mean / b.mean < 1 THEN 'less' ELSE 'more' END AS verdict FROM s a JOIN s b ON a.name = b.name AND a.cap = 'A' AND b.cap = 'B'", "z2")

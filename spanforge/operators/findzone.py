@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.intervals import covering
-from ..plans.stats import RANKS, binned, nearest_rank, sum_sq
+from ..plans.stats import RANKS, binned, nearest_rank, sum_sq, total
 
 GROUPS = ("thread", "text", "name", "callstack", "parent", "none")
 
@@ -19,7 +19,7 @@ def sorted_durations(zones: DataFrame, x: str = "dur") -> DataFrame:
 def distribution(zones: DataFrame, keys: list[str], x: str = "dur") -> DataFrame:
     """count, total, mean, deviation and nearest-rank percentiles of each group."""
     rows = zones.where(F.col(x) > 0)
-    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.sum(x).alias("total"), sum_sq(x).alias("sq"))
+    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), total(x).alias("total"), sum_sq(x).alias("sq"))
     n, t = F.col("count"), F.col("total").cast("double")
     base = base.withColumn("mean", t / n)
     spread = (F.col("sq") - F.lit(2.0) * t * F.col("mean") + F.col("mean") * F.col("mean") * n) / (n - 1)
