@@ -100,12 +100,12 @@ for _by, _key in _KEYS.items():
 
     @query(f"q49_group_by_{_by}", f"SELECT {_key} AS key, count(*) AS count, CAST(sum(dur) AS BIGINT) AS total, CAST(sum(dur) AS DOUBLE) / count(*) AS mean, min(start) AS first, list_sort(list(dur))[CAST(least(count(*) - 1, count(*) // 2) AS BIGINT) + 1] AS median FROM z WHERE dur > 0 GROUP BY 1", "z")
     def _(spark, sf_dir, by=_by):
-        return Z.grouped(zones(spark, sf_dir), by)
+        return fitted(Z.grouped(zones(spark, sf_dir), by), "total")
 
 
 @query("q50_groups_sorted", "SELECT CAST(thread AS VARCHAR) AS key, count(*) AS count, CAST(sum(dur) AS BIGINT) AS total FROM z WHERE dur > 0 GROUP BY 1 ORDER BY count(*) DESC, min(start)", "z")
 def _(spark, sf_dir):
-    return Z.sort_groups(Z.grouped(zones(spark, sf_dir), "thread"), "count").select("key", "count", "total")
+    return Z.sort_groups(fitted(Z.grouped(zones(spark, sf_dir), "thread"), "total"), "count").select("key", "count", "total")
 
 
 @query("q52_zone_list_sorted", "SELECT zone_id, name, dur FROM z WHERE dur > 0 ORDER BY name, dur DESC, zone_id", "z")

@@ -48,7 +48,7 @@ def group_key(by: str) -> Column:
 def grouped(zones: DataFrame, by: str) -> DataFrame:
     """Groups of a zone's occurrences: count, total, mean, median and start of the first."""
     rows = zones.where("dur > 0").withColumn("key", group_key(by))
-    base = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.sum("dur").alias("total"), (F.sum("dur") / F.count(F.lit(1))).alias("mean"), F.min("start").alias("first"))
+    base = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), total("dur").alias("total"), (total("dur").cast("double") / F.count(F.lit(1))).alias("mean"), F.min("start").alias("first"))
     middle = nearest_rank(rows.withColumn("key", F.coalesce("key", F.lit("\0"))), ["key"], "dur", (0.5,)).withColumnRenamed("p50", "median")
     return base.join(middle.withColumn("key", F.when(F.col("key") != "\0", F.col("key"))).withColumnRenamed("key", "own"), F.col("key").eqNullSafe(F.col("own"))).drop("own")
 
