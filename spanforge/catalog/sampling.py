@@ -235,7 +235,8 @@ def _(spark, sf_dir):
 
 @query("q36_gpu_statistics_view", "SELECT srcloc, name, count(*) AS count, CAST(sum(gpu_end - gpu_start) AS BIGINT) AS total FROM gz WHERE gpu_end > gpu_start GROUP BY srcloc, name", "gz")
 def _(spark, sf_dir):
-    return gpu(spark, sf_dir).where("gpu_end > gpu_start").groupBy("srcloc", "name").agg(F.count(F.lit(1)).alias("count"), F.sum(F.col("gpu_end") - F.col("gpu_start")).alias("total"))
+    rows = gpu(spark, sf_dir).where("gpu_end > gpu_start").groupBy("srcloc", "name")
+    return fitted(rows.agg(F.count(F.lit(1)).alias("count"), total(F.col("gpu_end") - F.col("gpu_start")).alias("total")), "total")
 
 
 @query("q40_gpu_children_grouped", "SELECT c.parent_id, c.name, count(*) AS count, CAST(sum(c.gpu_end - c.gpu_start) AS BIGINT) AS time FROM gz c JOIN gz p ON c.parent_id = p.gpu_zone_id WHERE p.gpu_end > p.gpu_start AND c.gpu_end IS NOT NULL GROUP BY 1, 2", "gz")
