@@ -150,18 +150,18 @@ CTES["zpath"] = (("anc",), "zpath AS (SELECT z.zone_id, z.dur, z.start, z.stop,
 
 @query("q121_flame_zones", "SELECT path, CAST(sum(dur) AS BIGINT) AS time, count(*) AS count FROM zpath WHERE dur IS NOT NULL GROUP BY path", "zpath")
 def _(spark, sf_dir):
-    return S.flame_of_zones(zones(spark, sf_dir))
+    return fitted(S.flame_of_zones(zones(spark, sf_dir)), "time")
 
 
 @query("q121_flame_zones_range", f"WITH c AS (SELECT path, greatest(least(stop, {UNTIL}) - greatest(start, {SINCE}), 0) AS t FROM zpath WHERE dur IS NOT NULL) SELECT path, CAST(sum(t) AS BIGINT) AS time, count(*) AS count FROM c WHERE t > 0 GROUP BY path", "zpath")
 def _(spark, sf_dir):
-    return S.flame_of_zones(zones(spark, sf_dir), SINCE, UNTIL)
+    return fitted(S.flame_of_zones(zones(spark, sf_dir), SINCE, UNTIL), "time")
 
 
 @query("q122_flame_running", "WITH r AS (SELECT p.zone_id, path, CAST(sum(least(p.stop, cs.stop) - greatest(p.start, cs.start)) AS BIGINT) AS t FROM zpath p JOIN cs ON p.thread = cs.thread AND cs.start < p.stop AND p.start < cs.stop WHERE p.dur > 0 AND cs.stop > cs.start GROUP BY 1, 2) SELECT path, CAST(sum(t) AS BIGINT) AS time, count(*) AS count FROM r GROUP BY path", "zpath", "cs")
 def _(spark, sf_dir):
     z = zones(spark, sf_dir)
-    return S.flame_of_zones(z, running=running(z, A.context_switches(spark, sf_dir)))
+    return fitted(S.flame_of_zones(z, running=running(z, A.context_switches(spark, sf_dir))), "time")
 
 
 @query("q123_flame_samples", f"WITH p AS (SELECT list_filter(list_reverse(frames), lambda x: x <> 0) AS f FROM st), q AS (SELECT f, unnest(range(1, len(f) + 1)) AS n FROM p) SELECT array_to_string(f[1:n], '/') AS path, count(*) * {PERIOD} AS time FROM q GROUP BY 1", "st")
@@ -171,7 +171,7 @@ def _(spark, sf_dir):
 
 @query("q124_flame_sorted", "SELECT path, CAST(sum(dur) AS BIGINT) AS time FROM zpath WHERE dur IS NOT NULL GROUP BY path ORDER BY time DESC, path", "zpath")
 def _(spark, sf_dir):
-    return S.flame_of_zones(zones(spark, sf_dir)).select("path", "time").orderBy(F.desc("time"), "path")
+    return fitted(S.flame_of_zones(zones(spark, sf_dir)).select("path", "time"), "time").orderBy(F.desc("time"), "path")
 
 
 @query("q125_zone_callstack", "SELECT z.zone_id, arg_min(array_to_string(st.frames, '/'), (st.time, st.seq)) AS frames FROM z JOIN st ON z.thread = st.thread AND z.start <= st.time AND st.time < z.stop GROUP BY z.zone_id", "z", "st")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.intervals import covering
 from ..plans.nesting import along_parents
-from ..plans.stats import prefixes
+from ..plans.stats import prefixes, total
 
 
 def intern(samples: DataFrame) -> DataFrame:
@@ -136,4 +136,4 @@ def flame_of_zones(zones: DataFrame, since: int | None = None, until: int | None
         rows = rows.withColumn("t", F.greatest(F.least("end", F.lit(until)) - F.greatest("start", F.lit(since)), F.lit(0))).where("t > 0")
     else:
         rows = rows.withColumn("t", F.col("dur"))
-    return rows.groupBy("path").agg(F.sum("t").alias("time"), F.count(F.lit(1)).alias("count"))
+    return rows.groupBy("path").agg(total("t").alias("time"), F.count(F.lit(1)).alias("count"))
