@@ -7,8 +7,10 @@ import re
 import pytest
 
 from spanforge.catalog import ORACLES, QUERIES
+from spanforge.operators import sampling as S
 from spanforge.plans.stats import fitted, total
 
+YEAR = 31_536_000_000_000_000
 QUERIES_OF_TOTALS = "q26_zone_stats q27_all_zone_stats q21e_zone_names q28_root_zone_stats q128_gpu_zone_stats q24_csv_aggregate q12_csv_export q33_statistics_children q35_statistics_sorted q17_visible_stats q39_child_distribution_inclusive q41_share_of_mean q25_truncated_mean q43_percentiles q56_side_by_side q57_speed_up q49_group_by_name q49_group_by_none q36_gpu_statistics_view q149_views q11_capture q121_flame_zones".split()
 
 
@@ -40,6 +42,14 @@ def test_totals_beyond_a_long(name, spark, long_dir):
     assert plain(got) == plain(want.fetchall()) and got
 
 
+def test_flame_of_a_range_beyond_a_long(spark, long_dir):
+    from spanforge.catalog.zones import zones
+
+    since, until = 20 * YEAR, 35 * YEAR  # fifteen years of each of fifty zones
+    flat = S.flame_of_zones(zones(spark, long_dir), since, until).collect()
+    assert {r.path: (r.time, r["count"]) for r in flat}["view"][1] == 50 and sum(r.time for r in flat) > 2 * (1 << 63)
+
+
 def test_only_totals_beyond_a_long_are_decimals(spark):
     rows = spark.createDataFrame([(1, 1 << 62, 5), (1, 1 << 62, 6), (2, 7, None)], "k int, x long, y long")
     sums = rows.groupBy("k").agg(total("x").alias("x"), total("y").alias("y"))
