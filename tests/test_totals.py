@@ -11,7 +11,7 @@ from spanforge.operators import sampling as S
 from spanforge.plans.stats import fitted, total
 
 YEAR = 31_536_000_000_000_000
-QUERIES_OF_TOTALS = "q26_zone_stats q27_all_zone_stats q21e_zone_names q28_root_zone_stats q128_gpu_zone_stats q24_csv_aggregate q12_csv_export q33_statistics_children q35_statistics_sorted q17_visible_stats q39_child_distribution_inclusive q41_share_of_mean q25_truncated_mean q43_percentiles q56_side_by_side q57_speed_up q49_group_by_name q49_group_by_none q36_gpu_statistics_view q149_views q11_capture q121_flame_zones".split()
+QUERIES_OF_TOTALS = "q26_zone_stats q27_all_zone_stats q21e_zone_names q28_root_zone_stats q128_gpu_zone_stats q24_csv_aggregate q12_csv_export q33_statistics_children q35_statistics_sorted q17_visible_stats q39_child_distribution_inclusive q41_share_of_mean q25_truncated_mean q43_percentiles q56_side_by_side q57_speed_up q49_group_by_name q49_group_by_none q36_gpu_statistics_view q149_views q11_capture q121_flame_zones q124_flame_sorted".split()
 
 
 @pytest.fixture(scope="module")
