@@ -8,16 +8,16 @@ equal pairs of neighbouring integers; the best offset is rated by its bit errors
 Frames are short, so that a change in a recording spoils few codes: those of the nine hops around it.
 
 Two recordings match where MIN_VOTES places of equal pairs of codes vote for one offset and at most MAX_ERROR of the bits
-differ there. Queries are held against all recordings that share enough pairs of codes, so that the search loses no match.
-Groups of near copies aren't expanded into pairs: the holders of a pair of codes are aligned with one query first, then
-queries with those that no match connects them to yet, and the result is a row per recording with its component: what
-matches with queries lead to.
+differ there, whichever of the voted offsets that is. Queries are held against all recordings that share enough pairs of codes,
+so that the search loses no match. Equal recordings are one class and aren't expanded into pairs; each match between a query
+class and another class is rated. The result is a row per recording with its component (what matches with queries lead to),
+the number of its matches and the best one.
 
 Defined results: a recording that is shorter than a filter's window is followed by silence, so that it has a code for each
 HOP samples begun; null and empty recordings have no codes and no match, and a recording with one code (of at most HOP
 samples) has no pair of codes and so no match beyond its class; recordings with equal fingerprints (those without codes too)
 form a class, named by its smallest id (null only where all its ids are null), whatever ids repeat; queries are the classes
-that have an id divisible by ``every``; of several matches that were found for a class the one with the fewest bit errors,
+that have an id divisible by ``every``; of several matches of a class the one with the fewest bit errors,
 then the most votes, then the smallest name is shown; an empty table gives an empty result; other columns play no part.
 """
 
@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_side, cut, cut_to, drop_tables, is_broadcast, short_batches, trimmed
@@ -40,7 +40,7 @@ WIDTH = 8  # frames that a filter sees
 EVERY = 20
 MIN_VOTES = 2
 MAX_ERROR = 0.35
-#: Codes of queries that lists are aligned with first are broadcast up to so many bytes.
+#: Codes of queries are broadcast up to so many bytes.
 QUERY_BYTES = 32 << 20
 
 
@@ -189,9 +189,9 @@ def _posts(prints: DataFrame) -> DataFrame:
     return prints.where("size(codes) > 1").select("uid", "codes").mapInArrow(run, "key long, uid long, again boolean")
 
 
-def offset_votes(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Best offset of ``b`` against ``a`` (codes as int64) and its votes: equal pairs of neighbouring codes, each at all its places in the
-    recording (a run, as of a held note or silence, is one place); of equals the smallest offset. No common pair: 0 votes."""
+def _tally(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
+    """Votes for each offset of ``b`` against ``a`` (codes as int64), and the first offset: equal pairs of neighbouring codes, each
+    at all its places in the recording (a run, as of a held note or silence, is one place)."""
     sides = []
     for c in (a, b):
         keys = c[:-1] << 32 | c[1:]
@@ -204,10 +204,27 @@ def offset_votes(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     tally = np.zeros(max(1, len(a) + len(b) - 1), np.int64)
     for k in np.flatnonzero(last > first):  # one place of a at a time bounds memory
         tally[j[first[k] : last[k]] - i[k] - low] += 1
+    return tally, low
+
+
+def offset_votes(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Best offset of ``b`` against ``a`` and its votes; of equals the smallest offset. No common pair: 0 votes."""
+    tally, low = _tally(a, b)
     best = int(tally.argmax())
     return (best + low, int(tally[best])) if tally[best] else (0, 0)
 
 
+def matched(a: np.ndarray, b: np.ndarray, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR) -> tuple[int, int, float] | None:
+    """Offset, votes and bit errors where ``b`` matches ``a``: of all offsets with enough votes and few enough errors the one with
+    the most votes, then the smallest. What is voted for most may be a passage that both repeat, out of place."""
+    tally, low = _tally(a, b)
+    places = np.flatnonzero(tally >= min_votes)
+    for at in places[np.argsort(-tally[places], kind="stable")]:
+        if (error := bit_errors(a, b, int(at) + low)) <= max_error:
+            return int(at) + low, int(tally[at]), error
+    return None
+
+
 MATCHES = "query long, match long, offset int, votes long, bit_error_rate double"
 
 
@@ -223,7 +240,7 @@ def aligned(pairs: DataFrame, prints: DataFrame, min_votes: int = MIN_VOTES, max
     pairs, pairs_path = cut_to(pairs, "chroma-pairs")
     wanted = {x: bounded_side(cut(pairs.select(x).distinct(), "chroma-ends")) for x in ("query", "match")}
     sides = {x: prints.select(F.col("uid").alias(x), F.col("codes").alias(f"codes_{x}")).join(ends, x, "left_semi") for x, ends in wanted.items()}
-    queries, codes_path = cut_to(sides["query"], "chroma-codes")  # few: a list is aligned with one query first
+    queries, codes_path = cut_to(sides["query"], "chroma-codes")
     laid = pairs.join(sides["match"], "match").join(bounded_side(queries, most_bytes=QUERY_BYTES), "query").select("query", "match", "codes_query", "codes_match")
 
     @trimmed
@@ -231,9 +248,8 @@ def aligned(pairs: DataFrame, prints: DataFrame, min_votes: int = MIN_VOTES, max
         for batch in batches:
             rows = []
             for own, other, a, b in zip(*(batch.column(i).to_pylist() for i in range(2)), *(_arrays(batch.column(i)) for i in (2, 3)), strict=True):
-                offset, votes = offset_votes(a, b)
-                if votes >= min_votes and (error := bit_errors(a, b, offset)) <= max_error:
-                    rows.append((own, other, offset, votes, error))
+                if match := matched(a, b, min_votes, max_error):
+                    rows.append((own, other, *match))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in MATCHES.split(", ")])
@@ -258,16 +274,32 @@ def classes_of(prints: DataFrame, every: int = EVERY) -> DataFrame:
     return cut(own.join(bounded_side(cut(named, "chroma-classes")), "digest").select("uid", "class", "class_id", "asked"), "chroma-rows")
 
 
+def _in_runs(held: DataFrame) -> DataFrame:
+    """``held`` (key, class, asked, again, n) with the keys before and after each of a class, longest lists first: near copies
+    have the same keys there one after the other."""
+    order = Window.partitionBy("class").orderBy(F.desc("n"), "key")
+    return held.select("key", "class", "asked", "again", F.lag("key").over(order).alias("before"), F.lead("key").over(order).alias("after"))
+
+
 def _enough(held: DataFrame, min_votes: int) -> DataFrame:
-    """Pairs (query, match) of rows (query, match, again) for each key that both have, where so many places can vote: as many
-    keys, or one with several places in both."""
-    worth = F.when(F.col("again"), min_votes).otherwise(1)
-    return held.groupBy("query", "match").agg(F.sum(worth).alias("worth")).where(F.col("worth") >= min_votes).select("query", "match")
+    """Pairs (query, match) of classes where so many places can vote: as many common keys, or one with several places in
+    both. A pair of queries stands once.
+
+    Keys that both have one after the other are one row, that of their first; where there is a second one, the pair is
+    enough of a candidate for ``aligned``, which counts its votes.
+    """
+    a, b = held.where("asked").alias("a"), held.alias("b")
+    once = ~F.col("b.asked") | (F.col("a.class") < F.col("b.class"))
+    first = ~F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class") != F.col("b.class")) & once & first)
+    several = (F.col("a.again") & F.col("b.again")) | F.coalesce(F.col("a.after") == F.col("b.after"), F.lit(False))
+    pairs = met.select(F.col("a.class").alias("query"), F.col("b.class").alias("match"), F.when(several, min_votes).otherwise(1).alias("worth"))
+    return pairs.groupBy("query", "match").agg(F.sum("worth").alias("worth")).where(F.col("worth") >= min_votes).select("query", "match")
 
 
 def search(prints: DataFrame, rows: DataFrame, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR) -> tuple[DataFrame, DataFrame]:
-    """Matches that were found between queries and other classes, and uid, root of the classes that matches connect; classes
-    by their smallest uid. ``prints`` is a written table of ``fingerprints``, ``rows`` are its ``classes_of``."""
+    """All matches between queries and other classes (two queries: once), and uid, root of the classes that matches connect;
+    classes by their smallest uid. ``prints`` is a written table of ``fingerprints``, ``rows`` are its ``classes_of``."""
     spark = prints.sparkSession
     asked = _posts(prints.join(bounded_side(rows.where("asked and uid = class").select("uid")), "uid", "left_semi")).select("key").distinct()
     copies, single = bounded_side(rows.where("uid <> class").select("uid")), prints
@@ -276,32 +308,18 @@ def search(prints: DataFrame, rows: DataFrame, min_votes: int = MIN_VOTES, max_e
     # only keys that a query has can bring a candidate: one shuffle of all keys, and what is left is small
     met = _posts(single).join(asked, "key", "left_semi").join(rows.select("uid", "class", "asked"), "uid")
     met = met.groupBy("key", "class").agg(F.max("asked").alias("asked"), F.max("again").alias("again"))
-    first = F.min(F.when(F.col("asked"), F.struct(F.xxhash64("class").alias("h"), "class")))["class"]
     met, met_path = cut_to(met, "chroma-posts")
-    lists = met.groupBy("key").agg(first.alias("query"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("asked"), F.col("again"))).alias("twice")).where("n > 1 and query is not null").drop("n")
-    held, held_path = cut_to(met.join(bounded_side(cut(lists, "chroma-firsts")), "key"), "chroma-lists")
-    tried = _enough(held.where("class <> query").select("query", F.col("class").alias("match"), (F.col("again") & F.col("twice")).alias("again")), min_votes)
-    tried, tried_path = cut_to(tried, "chroma-tried")
-    found = aligned(tried, prints, min_votes, max_error)
-    roots = cut(_rooted(found), "chroma-roots")
-
-    named = held.drop("query", "twice").join(roots.withColumnRenamed("uid", "class"), "class", "left").withColumn("root", F.coalesce("root", F.xxhash64("class")))
-    apart = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_lists = named.join(bounded_side(cut(apart, "chroma-apart")), "key", "left_semi")
-    query = open_lists.where("asked").select("key", F.col("class").alias("query"), F.col("root").alias("own"), F.col("again").alias("twice"))
-    both = query.join(open_lists.select("key", F.col("class").alias("match"), "root", "again"), "key").where("own <> root")
-    more = aligned(_enough(both.select("query", "match", (F.col("again") & F.col("twice")).alias("again")), min_votes).join(tried, ["query", "match"], "left_anti"), prints, min_votes, max_error)
-    drop_tables(spark, met_path, held_path, tried_path)
-    if more.limit(1).count():
-        found = found.unionByName(more)
-        roots = cut(_rooted(found), "chroma-roots")
-    return found, roots
+    lists = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("any")).where("n > 1 and any").select("key", "n")
+    held, held_path = cut_to(_in_runs(met.join(bounded_side(cut(lists, "chroma-lists")), "key")), "chroma-held")
+    found = aligned(_enough(held, min_votes), prints, min_votes, max_error)
+    drop_tables(spark, met_path, held_path)
+    return found, cut(_rooted(found), "chroma-roots")
 
 
 def report(media: DataFrame, key: str = "doc_id", samples: str = "text", every: int = EVERY) -> DataFrame:
     """One row per row of ``media``: its fingerprint, its class, its component (the smallest id that matches with queries lead
-    to, its own included) and the best match that was found for its class, if any: match_id, match_offset, votes and
-    bit_error_rate. The bytes of ``samples`` are the recording."""
+    to, its own included), the number of other classes that its class matches, a query on either side (n_links), and the best of
+    these matches, if any: match_id, match_offset, votes and bit_error_rate. The bytes of ``samples`` are the recording."""
     prints = cut(fingerprints(media, key, samples), "chroma-prints")
     rows = classes_of(prints, every)
     found, roots = search(prints, rows)
@@ -311,8 +329,8 @@ def report(media: DataFrame, key: str = "doc_id", samples: str = "text", every:
     labels = rooted.join(bounded_side(cut(tops, "chroma-tops")), "root").select("class", "component_id")
     turned = found.select(F.col("match").alias("query"), F.col("query").alias("match"), (-F.col("offset")).alias("offset"), "votes", "bit_error_rate")
     both = found.unionByName(turned).join(names.select(F.col("class").alias("match"), F.col("class_id").alias("match_id")), "match")
-    best = both.groupBy(F.col("query").alias("class")).agg(F.min(F.struct("bit_error_rate", (-F.col("votes")).alias("fewer"), "match_id", "offset")).alias("b"))
-    linked = labels.join(best, "class", "left").select("class", "component_id", F.col("b.match_id").alias("match_id"), F.col("b.offset").alias("match_offset"), (-F.col("b.fewer")).alias("votes"), F.round("b.bit_error_rate", 6).alias("bit_error_rate"))
+    best = both.groupBy(F.col("query").alias("class")).agg(F.min(F.struct("bit_error_rate", (-F.col("votes")).alias("fewer"), "match_id", "offset")).alias("b"), F.count(F.lit(1)).alias("n_links"))
+    linked = labels.join(best, "class", "left").select("class", "component_id", F.col("b.match_id").alias("match_id"), F.col("b.offset").alias("match_offset"), (-F.col("b.fewer")).alias("votes"), F.round("b.bit_error_rate", 6).alias("bit_error_rate"), "n_links")
     sized = prints.select("uid", F.col("id").alias("doc_id"), "n_frames", F.size("codes").cast("long").alias("n_codes"), F.lower(F.hex("digest")).alias("codes_sha256"))
     joined = sized.join(rows.select("uid", "class", "class_id"), "uid").join(bounded_side(cut(linked, "chroma-linked")), "class", "left")
-    return joined.select("doc_id", "n_frames", "n_codes", "codes_sha256", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "match_id", "match_offset", "votes", "bit_error_rate")
+    return joined.select("doc_id", "n_frames", "n_codes", "codes_sha256", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "match_id", "match_offset", "votes", "bit_error_rate", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -613,6 +613,54 @@ def test_all_places_of_a_motif_vote():
     assert chroma.offset_votes(whole, part) == (-210, 289)
 
 
+def test_a_match_at_a_less_voted_offset():
+    """A passage that stands twice in one recording has more votes out of place than the recordings have in place."""
+    rnd = np.random.default_rng(7)
+    a = rnd.integers(0, 1 << 32, 100)
+    b = a.copy()
+    b[::2] ^= 1
+    b[40:44] = a[40:44]
+    b = np.concatenate([a[60:70], b])
+    assert chroma.offset_votes(a, b) == (-60, 9) and chroma.bit_errors(a, b, -60) > chroma.MAX_ERROR
+    assert chroma.matched(a, b) == (10, 4, 48 / 3200)
+    assert chroma.matched(a, b, min_votes=10) is None and chroma.matched(a, rnd.integers(0, 1 << 32, 50)) is None
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_all_matches_of_queries_are_rated(docs_of, seed):
+    """Each match with a query counts, also between recordings that others connect; the best of all is shown."""
+    rnd = random.Random(seed)
+    noise = lambda n: "".join(chr(rnd.randint(32, 126)) for _ in range(n))
+    base = [noise(900) for _ in range(3)]
+    texts = [x[: (k := rnd.randint(300, 800))] + noise(rnd.choice([0, 7, 32])) + x[k:] + noise(rnd.randint(0, 200)) for x in base for _ in range(22)]
+    texts += [x[320:640] + x[:300] + noise(9) + x[300:] for x in base for _ in range(3)] + ["ab" * 300, "", "x"]
+    docs = docs_of([*enumerate(texts + texts[:9])])
+    classes = {}
+    for i, x in enumerate(texts + texts[:9]):
+        classes.setdefault(tuple(chroma.fingerprint(chroma.pitch_frames(chroma.padded(x.encode())))), []).append(i)
+    codes, ids = [np.array(x, np.int64) for x in classes], list(classes.values())
+    asked = [any(i % 7 == 0 for i in x) for x in ids]
+    links = {}
+    for i, a in enumerate(codes):
+        places = {}
+        for at in range(len(a) - 1):
+            if at == 0 or (a[at - 1], a[at]) != (a[at], a[at + 1]):
+                places.setdefault((a[at], a[at + 1]), []).append(at)
+        for j, b in enumerate(codes):
+            votes = {}
+            for at in range(len(b) - 1):
+                if at == 0 or (b[at - 1], b[at]) != (b[at], b[at + 1]):
+                    for other in places.get((b[at], b[at + 1]), []):
+                        votes[at - other] = votes.get(at - other, 0) + 1
+            errors = [chroma.bit_errors(a, b, o) for o, n in votes.items() if n >= chroma.MIN_VOTES]
+            if i != j and (asked[i] or asked[j]) and errors and min(errors) <= chroma.MAX_ERROR:
+                links.setdefault(i, set()).add(j)
+    got = {r.doc_id: r for r in chroma.report(docs, every=7).collect()}
+    assert {i: got[i].n_links for x in ids for i in x} == {i: len(links.get(k, ())) for k, x in enumerate(ids) for i in x}
+    names = {k: {x[0] for x in (ids[j] for j in js)} for k, js in links.items()}
+    assert sum(len(x) for x in names.values()) > 300 and all(got[i].match_id in names.get(k, {None}) for k, x in enumerate(ids) for i in x)
+
+
 def test_edited_copies_are_found(spark):
     """Texts of 150 words of which one is another: four of five at least are found, and nothing else."""
     rnd = random.Random(11)
