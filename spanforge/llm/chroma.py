@@ -225,7 +225,7 @@ def matched(a: np.ndarray, b: np.ndarray, min_votes: int = MIN_VOTES, max_error:
     return None
 
 
-MATCHES = "query long, match long, offset int, votes long, bit_error_rate double"
+MATCHES = "query long, match long, query_id long, match_id long, offset int, votes long, bit_error_rate double"
 
 
 def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
@@ -235,23 +235,23 @@ def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
 
 
 def aligned(pairs: DataFrame, prints: DataFrame, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR) -> DataFrame:
-    """Of ``pairs`` (query, match: uids) those that match, with offset, votes and bit_error_rate."""
+    """Of ``pairs`` (query, match: uids; query_id, match_id) those that match, with offset, votes and bit_error_rate."""
     spark = prints.sparkSession
     pairs, pairs_path = cut_to(pairs, "chroma-pairs")
     wanted = {x: bounded_side(cut(pairs.select(x).distinct(), "chroma-ends")) for x in ("query", "match")}
     sides = {x: prints.select(F.col("uid").alias(x), F.col("codes").alias(f"codes_{x}")).join(ends, x, "left_semi") for x, ends in wanted.items()}
     queries, codes_path = cut_to(sides["query"], "chroma-codes")
-    laid = pairs.join(sides["match"], "match").join(bounded_side(queries, most_bytes=QUERY_BYTES), "query").select("query", "match", "codes_query", "codes_match")
+    laid = pairs.join(sides["match"], "match").join(bounded_side(queries, most_bytes=QUERY_BYTES), "query").select("query", "match", "query_id", "match_id", "codes_query", "codes_match")
 
     @trimmed
     def rate(batches):
         for batch in batches:
             rows = []
-            for own, other, a, b in zip(*(batch.column(i).to_pylist() for i in range(2)), *(_arrays(batch.column(i)) for i in (2, 3)), strict=True):
+            for *names, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), *(_arrays(batch.column(i)) for i in (4, 5)), strict=True):
                 if match := matched(a, b, min_votes, max_error):
-                    rows.append((own, other, *match))
+                    rows.append((*names, *match))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64())
+                kinds = (*[pa.int64()] * 4, pa.int32(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in MATCHES.split(", ")])
 
     found = cut(laid.mapInArrow(rate, MATCHES), "chroma-found")
@@ -275,10 +275,10 @@ def classes_of(prints: DataFrame, every: int = EVERY) -> DataFrame:
 
 
 def _in_runs(held: DataFrame) -> DataFrame:
-    """``held`` (key, class, asked, again, n) with the keys before and after each of a class, longest lists first: near copies
+    """``held`` (key, class, class_id, asked, again, n) with the keys before and after each of a class, longest lists first: near copies
     have the same keys there one after the other."""
     order = Window.partitionBy("class").orderBy(F.desc("n"), "key")
-    return held.select("key", "class", "asked", "again", F.lag("key").over(order).alias("before"), F.lead("key").over(order).alias("after"))
+    return held.select("key", "class", "class_id", "asked", "again", F.lag("key").over(order).alias("before"), F.lead("key").over(order).alias("after"))
 
 
 def _enough(held: DataFrame, min_votes: int) -> DataFrame:
@@ -293,8 +293,9 @@ def _enough(held: DataFrame, min_votes: int) -> DataFrame:
     first = ~F.coalesce(F.col("a.before") == F.col("b.before"), F.lit(False))
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.class") != F.col("b.class")) & once & first)
     several = (F.col("a.again") & F.col("b.again")) | F.coalesce(F.col("a.after") == F.col("b.after"), F.lit(False))
-    pairs = met.select(F.col("a.class").alias("query"), F.col("b.class").alias("match"), F.when(several, min_votes).otherwise(1).alias("worth"))
-    return pairs.groupBy("query", "match").agg(F.sum("worth").alias("worth")).where(F.col("worth") >= min_votes).select("query", "match")
+    pairs = met.select(*[F.col(f"{x}.class{y}").alias(f"{z}{y}") for y in ("", "_id") for x, z in (("a", "query"), ("b", "match"))], F.when(several, min_votes).otherwise(1).alias("worth"))
+    enough = pairs.groupBy("query", "match").agg(F.sum("worth").alias("worth"), *[F.max(x).alias(x) for x in ("query_id", "match_id")])
+    return enough.where(F.col("worth") >= min_votes).drop("worth")
 
 
 def search(prints: DataFrame, rows: DataFrame, min_votes: int = MIN_VOTES, max_error: float = MAX_ERROR) -> tuple[DataFrame, DataFrame]:
@@ -306,8 +307,8 @@ def search(prints: DataFrame, rows: DataFrame, min_votes: int = MIN_VOTES, max_e
     if is_broadcast(copies):  # copies of a fingerprint have its keys; where they are too many to name, they are found by class
         single = prints.join(copies, "uid", "left_anti")
     # only keys that a query has can bring a candidate: one shuffle of all keys, and what is left is small
-    met = _posts(single).join(asked, "key", "left_semi").join(rows.select("uid", "class", "asked"), "uid")
-    met = met.groupBy("key", "class").agg(F.max("asked").alias("asked"), F.max("again").alias("again"))
+    met = _posts(single).join(asked, "key", "left_semi").join(rows.select("uid", "class", "class_id", "asked"), "uid")
+    met = met.groupBy("key", "class").agg(F.max("class_id").alias("class_id"), F.max("asked").alias("asked"), F.max("again").alias("again"))
     met, met_path = cut_to(met, "chroma-posts")
     lists = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("any")).where("n > 1 and any").select("key", "n")
     held, held_path = cut_to(_in_runs(met.join(bounded_side(cut(lists, "chroma-lists")), "key")), "chroma-held")
@@ -327,9 +328,9 @@ def report(media: DataFrame, key: str = "doc_id", samples: str = "text", every:
     rooted = names.join(roots.withColumnRenamed("uid", "class"), "class")
     tops = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
     labels = rooted.join(bounded_side(cut(tops, "chroma-tops")), "root").select("class", "component_id")
-    turned = found.select(F.col("match").alias("query"), F.col("query").alias("match"), (-F.col("offset")).alias("offset"), "votes", "bit_error_rate")
-    both = found.unionByName(turned).join(names.select(F.col("class").alias("match"), F.col("class_id").alias("match_id")), "match")
-    best = both.groupBy(F.col("query").alias("class")).agg(F.min(F.struct("bit_error_rate", (-F.col("votes")).alias("fewer"), "match_id", "offset")).alias("b"), F.count(F.lit(1)).alias("n_links"))
+    turned = found.select(F.col("match").alias("class"), F.col("query_id").alias("match_id"), (-F.col("offset")).alias("offset"), "votes", "bit_error_rate")
+    both = found.select(F.col("query").alias("class"), "match_id", "offset", "votes", "bit_error_rate").unionByName(turned)
+    best = both.groupBy("class").agg(F.min(F.struct("bit_error_rate", (-F.col("votes")).alias("fewer"), "match_id", "offset")).alias("b"), F.count(F.lit(1)).alias("n_links"))
     linked = labels.join(best, "class", "left").select("class", "component_id", F.col("b.match_id").alias("match_id"), F.col("b.offset").alias("match_offset"), (-F.col("b.fewer")).alias("votes"), F.round("b.bit_error_rate", 6).alias("bit_error_rate"), "n_links")
     sized = prints.select("uid", F.col("id").alias("doc_id"), "n_frames", F.size("codes").cast("long").alias("n_codes"), F.lower(F.hex("digest")).alias("codes_sha256"))
     joined = sized.join(rows.select("uid", "class", "class_id"), "uid").join(bounded_side(cut(linked, "chroma-linked")), "class", "left")
