@@ -72,7 +72,7 @@ def same_order(name, spark, path):
     return [[str(x) for x in r] for r in got.select(*columns).collect()], [[str(x) for x in r] for r in want.fetchall()], dict(got.dtypes)
 
 
-@pytest.mark.parametrize("name, column", [("q35_statistics_sorted", "total")])
+@pytest.mark.parametrize("name, column", [("q35_statistics_sorted", "total"), ("q124_flame_sorted", "time")])
 def test_order_of_totals_beyond_a_long(name, column, spark, long_dir):
     got, want, types = same_order(name, spark, long_dir)
     assert got == want and len(got) == 2 and types[column] == "decimal(29,0)"
