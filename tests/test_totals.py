@@ -76,3 +76,13 @@ def same_order(name, spark, path):
 def test_order_of_totals_beyond_a_long(name, column, spark, long_dir):
     got, want, types = same_order(name, spark, long_dir)
     assert got == want and len(got) == 2 and types[column] == "decimal(29,0)"
+
+
+def test_flame_range_query_beyond_a_long(spark, tmp_path):
+    import duckdb
+
+    # 22,000 threads with a view over the whole range of five days: 301 years of it
+    duckdb.connect().execute(f"""COPY (SELECT 22000 * n + u AS event_id, TIMESTAMP '2024-01-01' + to_days(CAST(d AS INTEGER)) AS ts, u AS user_id, kind AS event_type, 1.5::DOUBLE AS value, '{{"k": 1}}' AS props
+FROM range(22000) t(u), (VALUES (0, 0, 'view'), (1, 9, 'purchase')) e(n, d, kind) ORDER BY 1) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    got, want, types = same_order("q121_flame_zones_range", spark, str(tmp_path))
+    assert got == want == [["view", str(22_000 * 5 * 86_400_000_000_000), "22000"]] and types["time"] == "decimal(29,0)"
