@@ -60,10 +60,15 @@ def zone_totals(events: DataFrame) -> DataFrame:
 
 
 def capture(events: DataFrame, target: str, checkpoint: str, timeout: float | None = None) -> DataFrame:
-    """Run until the log is read (or ``timeout`` seconds) and append closed zones to Parquet; what has been written."""
+    """Run until the log is read and append closed zones to Parquet; what has been written. A log that isn't read after
+    ``timeout`` seconds is a ``TimeoutError``: its first zones are in ``target``, and a call with the same ``checkpoint``
+    goes on from there."""
     query = closed_zones(events).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    if timeout is None:
-        query.awaitTermination()
-    elif not query.awaitTermination(timeout):
-        query.stop()
+    try:
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
+            raise TimeoutError(f"the log wasn't read in {timeout} seconds; {target} holds a part of its zones, {checkpoint} the state to go on from")
+    finally:
+        query.stop()  # nothing more is written after an error
     return events.sparkSession.read.schema(ZONES).parquet(target)

@@ -7,7 +7,10 @@ import struct
 
 import pytest
 import zstandard
+from helpers import of_duck, of_spark
+from pyspark.sql.streaming import StreamingQuery
 
+from spanforge.catalog import ORACLES, QUERIES
 from spanforge.sources import chrome, fxt, scratch, store
 from spanforge.streaming import ingest
 
@@ -135,6 +138,28 @@ def test_late_events_are_told(spark, tmp_path):
     assert sorted((r.zone_id, r.late) for r in got) == [(0, 0), (1, 2)]
 
 
+def test_a_part_of_a_log_is_no_capture(spark, tmp_path):
+    schema = "capture_id string, seq long, time long, thread long, kind string, name string"
+    for k in range(0, 8, 2):
+        spark.createDataFrame([("A", k, k, 1, "begin", "a"), ("A", k + 1, k + 1, 1, "end", None)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    log = ingest.event_log(spark, f"{tmp_path}/log", schema, files_per_batch=1)
+    with pytest.raises(TimeoutError, match="a part of its zones"):
+        ingest.capture(log, f"{tmp_path}/zones", f"{tmp_path}/cp", timeout=0.05)
+    assert not spark.streams.active
+    with pytest.raises(ValueError):
+        ingest.capture(log, f"{tmp_path}/zones", f"{tmp_path}/cp", timeout=-1)
+    assert not spark.streams.active
+    got = ingest.capture(log, f"{tmp_path}/zones", f"{tmp_path}/cp", timeout=600).collect()
+    assert sorted((r.zone_id, r.start, r.end) for r in got) == [(k, k, k + 1) for k in range(0, 8, 2)]
+
+
+def test_the_capture_query_waits_for_its_whole_log(spark, duck, sf_dir, monkeypatch):
+    """As with a log that takes longer than any limit."""
+    wait = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda query, timeout=None: wait(query) if timeout is None else False)
+    assert of_spark(QUERIES["q11_capture"](spark, sf_dir)) == of_duck(duck, ORACLES["q11_capture"])
+
+
 def test_fxt_round_trip():
     rows = [("begin", 5, 7, 3, "näme", 0.0), ("instant", 6, 7, 3, "x", 0.0), ("counter", 7, 7, 3, "used", 2.5), ("end", 9, 7, 3, "", 0.0)]
     tid = 3 | 7 << 32
